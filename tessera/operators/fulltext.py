@@ -25,8 +25,11 @@ def query_terms(query: str) -> list[str]:
 def _counted(df: DataFrame, key: str, column: str, terms: list[str]) -> DataFrame:
     """key, dl, and a count per query term, without any explode."""
     tokens = df.select(key, T.terms(F.col(column)).alias("_t"))
-    counts = [F.size(F.filter("_t", lambda t, q=q: t == F.lit(q))).alias(f"_tf{i}") for i, q in enumerate(terms)]
-    return tokens.select(key, F.coalesce(F.size("_t"), F.lit(0)).alias("_dl"), *[F.greatest(c, F.lit(0)).alias(f"_tf{i}") for i, c in enumerate(counts)])
+
+    def count(term: str):
+        return F.greatest(F.size(F.filter("_t", lambda t: t == F.lit(term))), F.lit(0))  # size of a null is -1
+
+    return tokens.select(key, F.greatest(F.size("_t"), F.lit(0)).alias("_dl"), *[count(q).alias(f"_tf{i}") for i, q in enumerate(terms)])
 
 
 def bm25_rank(df: DataFrame, key: str, column: str, query: str, k: int | None = None) -> DataFrame:
