@@ -21,8 +21,8 @@ from tessera.llm import common, rolling
 
 #: Largest share of characters inside repeated n-grams, by n (the published rules for web text).
 COVERAGE = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
-#: Largest share of lines that repeat an earlier one, and of characters in them.
-LINES, LINE_CHARS = 0.30, 0.20
+#: Largest share of characters in lines that repeat an earlier one.
+LINE_CHARS = 0.20
 LEAST_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 
 SYMBOL = np.zeros(256, bool)
@@ -98,7 +98,7 @@ def measured(data: np.ndarray, offsets: np.ndarray, coverage: Mapping[int, float
         share = by_text(repeated(p, before, text, n) * size, before) / np.maximum(word_chars, 1)
         worst = np.maximum(worst, share)
         failed |= share > most
-    failed |= (n_dup_lines > LINES * n_lines) | (dup_chars > LINE_CHARS * word_chars)
+    failed |= dup_chars > LINE_CHARS * word_chars
     base = (n_words < LEAST_WORDS) | (100 * n_repeat > REPEAT_PERCENT * n_words)
     return [n_words, word_chars, n_symbols, n_dup_lines, n_repeat, base, ~(base | failed), worst, dup_chars, n_lines]
 

@@ -1,12 +1,14 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from tessera.llm import quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup
+from tessera.llm import quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup, token_ids, toxicity
 
 QUERIES = {
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_suffix_array_dedup": suffix_dedup.op6_suffix_array_dedup,
+    "op7_token_ids": token_ids.op7_token_ids,
     "op8_source_mixing": source_mixing.op8_source_mixing,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}

@@ -67,9 +67,9 @@ def grams(p: np.ndarray, k: int) -> np.ndarray:
     return mix((p[k:] - p[:-k]) * down[: n - k + 1])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all texts, and the number of words before each text (len + 1 of them)."""
-    inside = ~SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     start = inside.copy()
