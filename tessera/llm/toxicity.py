@@ -3,11 +3,12 @@
 Two bigram models, of toxic and of ordinary texts, with absolute discounting: a bigram's rest goes to its class's
 continuation counts (in how many contexts a word follows), and their rest to backoff counts that the classes share: in
 how many texts of the whole corpus, labelled or not, a word occurs. A text's evidence is the difference of the two
-log-likelihoods for each word, normalised by length, over the whole text and over its most toxic WINDOW words; a logistic
-function turns the two into a score.
+log-likelihoods for each word, normalised by length, over the whole text and over its most toxic WINDOW words, there also by
+continuation counts alone; a logistic function turns these into a score.
 
 Labelled rows of fold 0 (crc32 of the doc_id mod 5) are never learned from; fold 4 fits the logistic function, the others
-the counts. At most TRAIN_ROWS labelled rows are learned from, those with the least hashes; all else covers all rows.
+the counts. At most TRAIN_ROWS labelled rows are learned from, those with the least hashes, as many toxic as ordinary ones for the
+counts, so that neither class's smoothing has more to give to rare words; all else covers all rows.
 Words are runs of characters other than ASCII punctuation and space, A-Z lower-cased. Null and empty texts, and any text if
 there are no labels of both kinds, have the share of toxic labels as their score. Rows without a doc_id are held out.
 A doc_id labelled twice counts twice; labels of null count as none. Extra columns are ignored.
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import common, rolling
 
-TRAIN_ROWS = 6000
-DISCOUNT, WINDOW = 0.75, 12
+TRAIN_ROWS = 9000
+#: Well over 1: what is met a few times says little of its class.
+DISCOUNT, WINDOW = 4.0, 12
 FOLDS = 5
 #: Bytes that part words: 00-2F, 3A-60 and 7B-7F, after A-Z are lower-cased.
 PART = np.zeros(256, bool)
@@ -106,22 +108,23 @@ class Model:
     low: np.ndarray  # (2, words): probability by continuation and shared counts
     rest: np.ndarray  # (2,): what an unknown word gets, times its shared probability
     after: np.ndarray  # (2, words): tokens after a context
-    kinds: np.ndarray  # (2, words): different words after it
+    spare: np.ndarray  # (2, words): what discounting takes from those
     pairs: np.ndarray  # bigrams, in order
     n: np.ndarray  # (2, pairs)
 
-    def evidence(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log P(w | v, toxic) - log P(w | v, ordinary). An unknown word's shared probability cancels out."""
+    def evidence(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log P(w | v, toxic) - log P(w | v, ordinary), and the same by continuation counts alone, which copies of a text
+        don't raise. An unknown word's shared probability cancels out."""
         find = lambda table, x: (at := np.minimum(np.searchsorted(table, x), len(table) - 1), table[at] == x)
         (at, known), (context, seen), (pair, met) = find(self.words, w), find(self.words, v), find(self.pairs, pair_keys(v, w))
-        logs = []
+        logs, low = [], []
         for c in (0, 1):
             p = np.where(known, self.low[c][at], self.rest[c])
+            low.append(np.log(p))
             total = np.where(seen, self.after[c][context], 0)
             own = np.where(met & known, np.maximum(self.n[c][pair] - DISCOUNT, 0), 0)
-            p = np.where(total > 0, (own + DISCOUNT * self.kinds[c][context] * p) / np.maximum(total, 1), p)
-            logs.append(np.log(p))
-        return logs[1] - logs[0]
+            logs.append(np.log(np.where(total > 0, (own + self.spare[c][context] * p) / np.maximum(total, 1), p)))
+        return logs[1] - logs[0], low[1] - low[0]
 
 
 def built(counts, shared: dict[str, np.ndarray], total: float) -> Model:
@@ -139,26 +142,26 @@ def built(counts, shared: dict[str, np.ndarray], total: float) -> Model:
         to, by = np.searchsorted(words, w[own]), np.searchsorted(words, v[own])
         follows = np.bincount(to, minlength=len(words))
         m.after[c] = np.bincount(by, n[own], len(words))
-        m.kinds[c] = np.bincount(by, minlength=len(words))
+        m.spare[c] = np.bincount(by, np.minimum(n[own], DISCOUNT), len(words))
         m.n[c] = np.bincount(np.searchsorted(pairs, pair_keys(v[own], w[own])), n[own], len(pairs))
-        m.rest[c] = DISCOUNT * (follows > 0).sum() / max(follows.sum(), 1)
+        m.rest[c] = np.minimum(follows, DISCOUNT).sum() / max(follows.sum(), 1)
         m.low[c] = np.maximum(follows - DISCOUNT, 0) / max(follows.sum(), 1) + m.rest[c] * backoff
     return m
 
 
 def features(model: Model, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Two columns by text: mean evidence of a word, and that of the most toxic window (its sum over WINDOW)."""
+    """Columns by text: mean evidence of a word, within 1 of zero, and the most that a window of WINDOW words has, a word."""
     rows, sizes = len(before) - 1, np.diff(before)
-    total = np.append(0.0, np.cumsum(model.evidence(contexts(ids, before), ids)))
-    mean = (total[before[1:]] - total[before[:-1]]) / np.maximum(sizes, 1)
-    start = np.arange(len(ids))
+    out = np.zeros((rows, 3))
+    start, full = np.arange(len(ids)), sizes > 0
     stop = np.minimum(start + WINDOW, np.repeat(before[1:], sizes))
-    sums = (total[stop] - total[:-1]) / WINDOW
-    top = np.zeros(rows)
-    full = sizes > 0
-    if full.any():
-        top[full] = np.maximum.reduceat(sums, before[:-1][full])
-    return np.stack([mean, top], 1)
+    for k, evidence in enumerate(model.evidence(contexts(ids, before), ids)):
+        total = np.append(0.0, np.cumsum(evidence))
+        if k == 0:
+            out[:, 0] = np.clip((total[before[1:]] - total[before[:-1]]) / np.maximum(sizes, 1), -1, 1)
+        if full.any():
+            out[full, k + 1] = np.maximum.reduceat((total[stop] - total[:-1]) / WINDOW, before[:-1][full])
+    return np.clip(out, -1, 1)
 
 
 def fitted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -185,7 +188,8 @@ class Scorer:
         if self.model is None or self.weights is None:
             return np.full(len(before) - 1, self.share)
         x, a = features(self.model, ids, before), self.weights
-        z = ((x - a[3:5]) / a[5:7]) @ a[:2] + a[2]
+        k = x.shape[1]
+        z = ((x - a[k + 1 : 2 * k + 1]) / a[2 * k + 1 :]) @ a[:k] + a[k]
         return np.where(np.diff(before) > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.share)
 
 
@@ -193,8 +197,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Scorer:
     fold = common.crc32_fold("doc_id", FOLDS)
     some = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold != 0))
     some = some.select("doc_id", F.when(F.col("toxic") > 0, 1).otherwise(0).cast("long").alias("label"), fold.cast("long").alias("fold"))
-    some = common.cut(some.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows))
+    some = common.cut(some)
+    each = dict(some.filter("fold <> 4").groupBy("label").count().collect())
+    each = min(rows // 3, each.get(0, 0), each.get(1, 0))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = [some.filter(f"fold <> 4 AND label = {c}").orderBy(*order).limit(each) for c in (0, 1)]
     share = some.agg(F.avg("label")).first()[0]
+    some = common.cut(first[0].union(first[1]).union(some.filter("fold = 4").orderBy(*order, "label").limit(rows // 3)))
     if share is None or share in (0.0, 1.0):
         return Scorer(None, None, float(share or 0.0))
     texts = common.cut(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "label", "fold"))
@@ -211,16 +220,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Scorer:
     found = shared.join(known, "word", "left_semi").toArrow()
     model = built(counts, {x: found.column(x).to_numpy() for x in ("word", "n")}, float(total))
     fit = texts.filter("fold = 4").select("doc_id", "text", "label")
-    got = fit.mapInArrow(lambda it: measured(model, it), "label long, mean double, top double").toPandas()
+    got = fit.mapInArrow(lambda it: measured(model, it), "label long, mean double, top double, top_low double").toPandas()
     y = got["label"].to_numpy(float)
-    weights = fitted(got[["mean", "top"]].to_numpy(), y) if 0 < y.sum() < len(y) else None
+    weights = fitted(got[["mean", "top", "top_low"]].to_numpy(), y) if 0 < y.sum() < len(y) else None
     return Scorer(model, weights, float(share))
 
 
 def measured(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for i, j, b, ids, before in batches_of(batches):
         x = features(model, ids, before)
-        yield pa.RecordBatch.from_arrays([b.column(2).slice(i, j - i), pa.array(x[:, 0]), pa.array(x[:, 1])], ["label", "mean", "top"])
+        yield pa.RecordBatch.from_arrays([b.column(2).slice(i, j - i), *map(pa.array, x.T)], ["label", "mean", "top", "top_low"])
 
 
 def scored(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
