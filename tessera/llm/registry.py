@@ -1,8 +1,10 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
-from tessera.llm import quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup, token_ids, toxicity
+import corpus_pipeline
+from tessera.llm import decontamination, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup, token_ids, toxicity
 
 QUERIES = {
+    "op3_decontamination": decontamination.op3_decontamination,
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_suffix_array_dedup": suffix_dedup.op6_suffix_array_dedup,
@@ -10,5 +12,6 @@ QUERIES = {
     "op8_source_mixing": source_mixing.op8_source_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
