@@ -1,9 +1,11 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from tessera.llm import decontamination, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup, token_ids, toxicity
+from tessera.llm import decontamination, licenses, pii, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup, token_ids, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_decontamination": decontamination.op3_decontamination,
     "op4_simhash_dedup": simhash_dedup.op4_simhash_dedup,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
