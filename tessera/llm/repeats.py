@@ -113,9 +113,11 @@ def combined(runs: np.ndarray, earlier: bool) -> tuple[np.ndarray, np.ndarray, n
 
 def intervals(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """A blob of merged (start, end) pairs for each document."""
+    if not len(doc):
+        return
     order = np.argsort(doc, kind="stable")
     doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
-    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     for i, j in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
         s, e = rolling.merged(start[i:j], end[i:j])
         yield int(doc[i]), np.stack([s, e], 1).astype("<u4").tobytes()
