@@ -71,9 +71,9 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words, n_hit and items (ids, in order of their strings) of each row of docs."""
-    known = items.filter("item_id IS NOT NULL").select("item_id", hashes("text").alias("_g1")).filter(F.size("_g1") > 0)
+def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, shortest: int = 1) -> DataFrame:
+    """doc_id, n_words, n_hit and items (ids, in order of their strings) of each row of docs. Items of fewer than `shortest` words are left out."""
+    known = items.filter("item_id IS NOT NULL").select("item_id", hashes("text").alias("_g1")).filter(F.size("_g1") >= shortest)
     known = common.cut(known.withColumn("_n", F.least(F.size("_g1"), F.lit(window))))
     lengths = sorted(r[0] for r in known.select("_n").distinct().collect())  # at most `window`
     short = [n for n in lengths if n < window]
@@ -121,9 +121,9 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int =
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, least_items: int = LEAST_ITEMS) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, least_items: int = LEAST_ITEMS, shortest: int = 1) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated (windows of least_items items or more)."""
-    found = matched(docs, items)
+    found = matched(docs, items, shortest=shortest)
     n = F.size("items").cast("long")
     digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", n.alias("n_items"), digest.alias("items_sha256"), (n >= least_items).alias("contaminated"))

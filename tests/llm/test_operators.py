@@ -237,3 +237,14 @@ def test_licenses(spark, none):
     got = by_id(licenses.scan(df))
     assert [got[i].licenses for i in (1, 2, 3, 4)] == ["MIT", "", "MIT,CC-BY-NC-4.0", ""] and got[1].sentence_ids == "mit-grant,mit-keep"
     assert licenses.scan(none).count() == 0
+
+
+def test_pipeline_removes_passages_of_one_item(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = " ".join(f"item{i}" for i in range(20))
+    spark.createDataFrame([(1, passage), (2, "the")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {1: f"a b {passage} c", 2: "the " * 12, 3: " ".join(passage.split()[:7]) + " x", 4: None, 5: f"y {' '.join(passage.split()[6:14])} z"}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y") for i, t in texts.items()], SCHEMA)
+    got = corpus_pipeline.unseen(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [2, 3, 4]
