@@ -1,7 +1,7 @@
 """Queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 import corpus_pipeline
-from tessera.llm import decontamination, licenses, pii, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup, token_ids, toxicity
+from tessera.llm import decontamination, licenses, oracles, pii, quality_rules, simhash_dedup, source_mixing, substring_dedup, suffix_dedup, token_ids, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,4 +16,5 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+ORACLES: dict[str, str] = {"op3_decontamination": oracles.OP3, "op5_substring_dedup": oracles.OP5}
+ORACLES |= {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
