@@ -72,7 +72,7 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, shortest: int = 1) -> DataFrame:
-    """doc_id, n_words, n_hit and items (ids, in order of their strings) of each row of docs. Items of fewer than `shortest` words are left out."""
+    """doc_id, _key (hash of the text), n_words, n_hit and items (ids, in order of their strings) of each row of docs. Items of fewer than `shortest` words are left out."""
     known = items.filter("item_id IS NOT NULL").select("item_id", hashes("text").alias("_g1")).filter(F.size("_g1") >= shortest)
     known = common.cut(known.withColumn("_n", F.least(F.size("_g1"), F.lit(window))))
     lengths = sorted(r[0] for r in known.select("_n").distinct().collect())  # at most `window`
@@ -87,7 +87,7 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int =
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("_key"), "text")
     if not lengths:
-        return rows.select("doc_id", F.size(hashes("text")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return rows.select("doc_id", "_key", F.size(hashes("text")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     long_items = with_grams(known, sizes)
     # an item's windows have its own length: `window`, or all of a shorter item
     own = long_items.select("item_id", "_n", F.explode(windows(long_items)).alias("_w")).filter("_w.n = _n")
@@ -118,7 +118,14 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int =
     hits = bounded(common.cut(hits))
     out = rows.select("doc_id", "_key", F.size(hashes("text")).cast("long").alias("n_words")).join(hits, same, "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+    return out.select("doc_id", "_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, least_items: int, shortest: int = 1) -> DataFrame:
+    """Rows of docs, with or without an id, that hold windows of fewer than least_items items."""
+    found = matched(docs, items, shortest=shortest).filter(F.size("items") >= least_items)
+    found = found.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left_anti")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, least_items: int = LEAST_ITEMS, shortest: int = 1) -> DataFrame:

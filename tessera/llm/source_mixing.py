@@ -31,10 +31,10 @@ RANGES = 1024
 STEPS = 60
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and a hash that orders the documents."""
+def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, a hash that orders the documents, and the columns to keep."""
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text", "source").alias("_order"))
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text", "source").alias("_order"), *keep)
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -62,12 +62,12 @@ def rate(total: Column, target: Column, most: float) -> Column:
     return F.when((total > 0) & (target > 0), F.least(F.exp(dual), F.lit(most))).otherwise(0.0)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken (copies times size), a row for each of docs."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken (copies times size) and the columns to keep, a row for each of docs."""
     tier = F.lit(len(TIERS))
     for i in reversed(range(len(TIERS))):
         tier = F.when(F.col("size") >= TIERS[i], i).otherwise(tier)
-    sizes = common.cut(sized(docs).withColumn("_tier", tier).withColumn("_range", F.shiftright("_order", 64 - RANGES.bit_length() + 1)))
+    sizes = common.cut(sized(docs, keep).withColumn("_tier", tier).withColumn("_range", F.shiftright("_order", 64 - RANGES.bit_length() + 1)))
     goals = common.cut(targets(sizes, weights, share, most))
     ranges = common.cut(sizes.groupBy("source", "_tier", "_range").agg(F.sum("size").alias("_words")))
     before = Window.partitionBy("source", "_tier").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     for i in range(len(TIERS)):
         n = F.when(F.col("_tier") == i, copies(F.col(f"_r{i}"), F.col(f"_t{i}"))).otherwise(n)
     out = out.withColumn("copies", n.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
 def keyed(by_source: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.llm import common, rolling
 
@@ -232,18 +233,27 @@ def measured(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([b.column(2).slice(i, j - i), *map(pa.array, x.T)], ["label", "mean", "top", "top_low"])
 
 
-def scored(scorer: Scorer, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def scored(scorer: Scorer, batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
     for i, j, b, ids, before in batches_of(batches):
-        yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(scorer.scores(ids, before))], ["doc_id", "score"])
+        own = [b.column(b.schema.get_field_index(x)).slice(i, j - i) for x in names]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(scorer.scores(ids, before))], [*names, "score"])
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted, a row for each of docs. labels: doc_id and toxic."""
+def score_rows(docs: DataFrame, labels: DataFrame, names: list[str], rows: int = TRAIN_ROWS) -> DataFrame:
+    """The columns `names` of docs, score and predicted, a row for each of docs."""
     common.arrow_limits(docs.sparkSession)
     scorer = train(docs, labels, rows)
-    out = docs.select("doc_id", "text").mapInArrow(lambda it: scored(scorer, it), "doc_id long, score double")
+    schema = StructType([StructField(x, docs.schema[x].dataType) for x in names] + [StructField("score", DoubleType())])
+    some = docs.select("doc_id", "text", *[x for x in names if x not in ("doc_id", "text")])
+    out = some.mapInArrow(lambda it: scored(scorer, it, names), schema)
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int"))
+
+
+def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out, score and predicted, a row for each of docs. labels: doc_id and toxic."""
+    out = score_rows(docs, labels, ["doc_id"], rows)
     held_out = F.coalesce(common.crc32_fold("doc_id", FOLDS) == 0, F.lit(True))
-    return out.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
