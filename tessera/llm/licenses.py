@@ -1,9 +1,10 @@
 """Operator 2, licence scans by sentence rules.
 
-A text's sentences (parts between line ends, or after . ! ? ; : and a space) are normalised: lower case, letters and digits only, words joined
-by one space. Known licence sentences have identifiers; the identifiers of a text, in order, make one string, and each
+A text is normalised: lower case, letters and digits only, words joined by one space, so that line ends and comment marks
+within a sentence don't matter. Known licence sentences, wherever they stand in it as whole words, have identifiers; the identifiers of a text, in order, make one string, and each
 rule is an ordered sequence of identifiers that must follow one another in it (other known sentences may not stand
 between them, unknown ones may). Rules are tried in order; one whose identifiers all belong to an earlier match of a longer rule is left out.
+Rights reserved make a text proprietary only if it has no licence, as the BSD texts reserve them too.
 
 Null and empty texts have no licence. Every row is judged alone. Other columns are ignored. Only DataFrame functions.
 """
@@ -19,22 +20,40 @@ from tessera.llm import common
 SENTENCES = {
     "released under the mit license": "mit-notice",
     "licensed under the mit license": "mit-notice",
+    "distributed under the mit license": "mit-notice",
+    "available under the mit license": "mit-notice",
+    "under the terms of the mit license": "mit-notice",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-keep",
     "licensed under the apache license version 2 0": "apache-notice",
     "licensed under the apache license version 2 0 the license": "apache-notice",
+    "apache license version 2 0 january 2004": "apache-text",
     "you may not use this file except in compliance with the license": "apache-comply",
     "you may obtain a copy of the license at": "apache-copy",
     "this work is licensed under the gnu general public license version 3": "gpl3-notice",
+    "gnu general public license version 3 29 june 2007": "gpl3-text",
+    "gnu general public license version 2 june 1991": "gpl2-text",
+    "how to apply these terms to your new programs": "gpl-apply",
     "this program is free software": "gpl-free",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
     "either version 3 of the license or at your option any later version": "gpl-v3-later",
     "either version 2 of the license or at your option any later version": "gpl-v2-later",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license": "gpl-v3-only",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl-v3-only",
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "gpl-v2-only",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl-v2-only",
+    "creative commons attribution 4 0 international": "cc-by-notice",
+    "creative commons attribution sharealike 4 0 international": "cc-by-sa-notice",
+    "creative commons attribution noncommercial 4 0 international": "cc-by-nc-notice",
     "licensed under cc by 4 0": "cc-by-notice",
     "licensed under cc by sa 4 0": "cc-by-sa-notice",
     "licensed under cc by nc 4 0": "cc-by-nc-notice",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-ads",
+    "mozilla public license version 2 0": "mpl-text",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-notice",
     "all rights reserved": "reserved",
 }
@@ -45,26 +64,37 @@ RULES = [
     ("MIT", ["mit-notice"]),
     ("Apache-2.0", ["apache-notice", "apache-comply", "apache-copy"]),
     ("Apache-2.0", ["apache-notice"]),
+    ("Apache-2.0", ["apache-text"]),
+    ("GPL-3.0", ["gpl-apply", "gpl-free", "gpl-terms", "gpl-v3-later"]),
+    ("GPL-2.0", ["gpl-apply", "gpl-free", "gpl-terms", "gpl-v2-later"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-terms", "gpl-v3-later"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-terms", "gpl-v2-later"]),
+    ("GPL-3.0", ["gpl-free", "gpl-v3-only"]),
+    ("GPL-2.0", ["gpl-free", "gpl-v2-only"]),
     ("GPL-3.0", ["gpl3-notice"]),
+    ("GPL-3.0", ["gpl3-text"]),
+    ("GPL-2.0", ["gpl2-text"]),
+    ("BSD-4-Clause", ["bsd-grant", "bsd-ads", "bsd-name"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-name"]),
     ("BSD-2-Clause", ["bsd-grant"]),
     ("MPL-2.0", ["mpl-notice"]),
+    ("MPL-2.0", ["mpl-text"]),
     ("CC-BY-4.0", ["cc-by-notice"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-notice"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-notice"]),
     ("proprietary", ["reserved"]),
 ]
-ENDS = r"\n+|(?<=[.!?;:])\s+"
+# every known sentence has one of these
+SOME = r"(?i)licen[sc]e|permi|redistrib|software|rights|version|commons|programs"
 
 
 def identifiers(text: str) -> Column:
-    """Identifiers of the known sentences, in order."""
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    """Identifiers of the known sentences, in order; of two that start at one place, the longer one's."""
+    plain = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    some = F.filter(F.split(F.coalesce(text, F.lit("")), ENDS), lambda s: s.rlike("(?i)licen[sc]e|permi|redistrib|software|rights|version"))
-    return F.filter(F.transform(some, lambda s: F.try_element_at(known, plain(s))), lambda x: x.isNotNull())
+    each = "|".join(sorted(SENTENCES, key=len, reverse=True))
+    found = F.when(F.col(text).rlike(SOME), F.regexp_extract_all(plain, F.lit(f"(?<![a-z0-9])({each})(?![a-z0-9])"), F.lit(1)))
+    return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda s: F.try_element_at(known, s))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -77,7 +107,8 @@ def scan(docs: DataFrame) -> DataFrame:
         sequence = F.lit(">" + ">".join(ids) + ">")
         names.append(F.when(F.col("_rest").contains(sequence), F.lit(name)))
         rows = rows.withColumn(f"_r{len(names)}", names[-1]).withColumn("_rest", F.replace("_rest", sequence, F.lit(">>")))
-    found = F.array_distinct(F.array_compact(F.array(*[F.col(f"_r{i + 1}") for i in range(len(RULES))])))
+    own = F.array_distinct(F.array_compact(F.array(*[F.col(f"_r{i + 1}") for i in range(len(RULES))])))
+    found = F.when(F.size(own) > 1, F.array_remove(own, "proprietary")).otherwise(own)
     return rows.select("doc_id", F.concat_ws(",", "sentence_ids").alias("sentence_ids"), F.concat_ws(",", found).alias("licenses"), F.size("sentence_ids").cast("long").alias("n_sentences"))
 
 
