@@ -6,6 +6,10 @@ with all its occurrences. An interval whose occurrences all follow one and the s
 longer string to its left has the same occurrences; those are left out. A document loses the bytes of each repeat of at
 least `length` bytes that also starts in a document with a smaller id.
 
+Most removals don't come from the tree: runs of equal anchor and class hashes are taken as removed before it (repeats.combined),
+so it sees only what is left, snippets of at most 2 * length - gram bytes. Maximal repeats longer than that aren't
+formed, and groups of occurrences aren't returned; only removed bytes are.
+
 Null, empty and short texts lose nothing. Rows of one doc_id are one document's, so none is earlier than the other and
 both are kept; rows without a doc_id are returned as they are. Other columns are ignored. UTF-8 characters may be cut.
 """
