@@ -1,8 +1,8 @@
-"""Operator 5, substring dedup by seed and extend.
+"""Operator 5, substring dedup by seeds and windows.
 
-Documents meet on winnowed anchors (seeds: the least k-gram of words in each window), matches are extended both ways from
-the anchor word by word, and what is covered by a repeat of at least `length` words is removed, wherever the other
-occurrence is. Words are runs of anything but space and 09 to 0D.
+Documents meet on winnowed anchors (seeds: the least k-gram of words in each window), and the windows of `length` words
+around an anchor are compared by hash: whole runs of them by their class (repeats.combined), the rest one by one. Nothing is
+extended to maximal repeats. What a repeated window covers is removed, wherever the other occurrence is. Words are runs of anything but space and 09 to 0D.
 
 Null, empty and short texts lose nothing. Repeated rows are occurrences: both lose their words. Rows of one doc_id are
 taken as one document's; rows without a doc_id are returned as they are. Other columns are ignored.
@@ -23,8 +23,7 @@ LENGTH, GRAM = 35, 12
 
 
 def extended(plan: repeats.Plan, wide, group, windows, sizes):
-    """Windows of a block that occur twice in their group. A group's candidates are aligned at their anchor, so each
-    window is the seed extended by its own number of words to the left and the rest to the right."""
+    """Windows of a block that occur twice in their group. Windows are compared by hash."""
     of, at, _, weight = windows
     content = wide[of[:, None], at[:, None] + np.arange(plan.length)]
     ids = repeats.identities(content, group[of])
