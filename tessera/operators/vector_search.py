@@ -1,4 +1,4 @@
-"""Nearest neighbours: exact scan with a bounded heap, and a cell index for approximate search."""
+"""Nearest neighbours: exact scan with a bounded heap. There is no index for approximate search."""
 
 from __future__ import annotations
 
