@@ -1,9 +1,9 @@
 """Operator 1, personal data replaced by format-preserving Feistel pseudonyms.
 
-Found by one pattern: card numbers (13 to 19 digits in groups, Luhn-valid), US social security numbers, dates
-(2024-01-31, 31.01.2024, 01/31/2024), IPv4 addresses, phone numbers (with a plus or in bracketed or dashed groups) and
+Found by one pattern: card numbers (13 to 19 digits, at once or in groups of two or more, Luhn-valid), IBANs (mod 97), US social security numbers, dates
+(2024-01-31, 31.01.2024, 01/31/2024, with or without zeros), IPv4 addresses, phone numbers (with a plus, in brackets, or in groups of 3, 3 and 4) and
 e-mail addresses. A validated number's digits go through a keyed Feistel permutation of all numbers with as many digits,
-and back into their places: a card's check digit is computed anew; an address is permuted as 32 bits; a date as a day of
+and back into their places: check digits are computed anew; an address is permuted as 32 bits; a date as a day of
 1900-01-01 to 2099-11-12 (73,000 days; other dates are left), whatever its format. A permutation maps different values to different
 ones and equal ones to equal ones, so documents stay linked; who has the key can undo it. An address's local part, which
 isn't a number, becomes a keyed hash. Other digits are left. Null and empty texts stay as they are; rows are independent
@@ -20,11 +20,16 @@ from tessera.llm import common
 EMAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}"
 SSN = r"\d{3}-\d{2}-\d{4}"
-DATE = r"\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"
-PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}"
-CARD = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{13,19}"
+DATE = r"\d{4}-\d{1,2}-\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}"
+PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\)[ .]?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4}"
+# the usual groupings first, so that a number after them isn't taken in
+CARD = (
+    r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4} \d{6} \d{4,5}|\d{4}-\d{6}-\d{4,5}|\d{13,19}"
+    r"|(?=(?:\d ?){13,19}(?! ?\d))\d{2,}(?: \d{2,})+|(?=(?:\d-?){13,19}(?!-?\d))\d{2,}(?:-\d{2,})+"
+)
+IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?\d[A-Z0-9]{0,2})?"
 # possessive and apart from other word characters, so that a match is never part of a longer number or name
-FOUND = rf"(?<![\w.@%+-])(?:{EMAIL}|(?:{IPV4}|{SSN}|{DATE}|{PHONE}|{CARD})(?![\w@]|[.-]\d))"
+FOUND = rf"(?<![\w.@%+-])(?:{EMAIL}|(?:{IBAN}|{IPV4}|{SSN}|{DATE}|{PHONE}|{CARD})(?![\w@]|[.-]\d))"
 ROUNDS = 8
 FIRST_DAY, DAYS, HALVES = "1900-01-01", 73_000, (250, 292)
 
@@ -70,6 +75,21 @@ def luhn(number: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(F.filter(each, lambda d: d != ""), one), F.lit(0), lambda s, x: s + x.cast("int")), F.lit(10))
 
 
+def mod97(x: Column) -> Column:
+    """x, digits and capitals (10 to 35), as a number modulo 97."""
+    value = lambda c: F.ascii(c) - F.when(c.rlike("[0-9]"), 48).otherwise(55)
+    return F.aggregate(F.filter(F.split(x, "(?!^)"), lambda c: c != ""), F.lit(0), lambda s, c: F.pmod(s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97)))
+
+
+def iban(x: Column, key: str) -> Column:
+    """x with the digits after its check digits permuted (the first 24 of them), and check digits for these."""
+    tail = F.substr(x, F.lit(5))
+    own = digits(tail)
+    body = F.transform(F.array(F.concat(permuted(F.substr(own, F.lit(1), F.least(F.length(own), F.lit(24))), "iban", key), F.substr(own, F.lit(25)))), lambda n: placed(tail, n))
+    check = lambda b: F.lpad((98 - mod97(F.concat(F.replace(b, F.lit(" "), F.lit("")), F.substring(x, 1, 2), F.lit("00")))).cast("string"), 2, "0")
+    return F.transform(body, lambda b: F.concat(F.substring(x, 1, 2), check(b), b))[0]
+
+
 def placed(shape: Column, number: Column) -> Column:
     """shape with its digits replaced, one after the other, by number's."""
     before = lambda i: F.length(digits(F.substr(shape, F.lit(1), i + 1)))
@@ -86,19 +106,23 @@ def pseudonym(x: Column, key: str) -> Column:
     ip = feistel(octet(0) * 256 + octet(1), octet(2) * 256 + octet(3), F.lit(65536), F.lit(65536), F.lit("ip"), key)
     part = lambda v: [F.floor(v / 256).cast("string"), F.pmod(v, F.lit(256)).cast("string")]
     address = F.transform(F.array(ip), lambda v: F.concat_ws(".", *part(v["a"]), *part(v["b"])))[0]
-    pattern = F.when(x.contains("/"), "MM/dd/yyyy").when(x.contains("."), "dd.MM.yyyy").otherwise("yyyy-MM-dd")
+    pattern = F.when(x.contains("/"), "M/d/yyyy").when(x.contains("."), "d.M.yyyy").otherwise("yyyy-M-d")
+    short = x.rlike(r"(?:^|[-./])\d(?:[-./]|$)")  # written without zeros
     day = F.datediff(F.try_to_timestamp(x, pattern).cast("date"), F.lit(FIRST_DAY).cast("date"))
     moved = feistel(F.floor(day / HALVES[1]), F.pmod(day, F.lit(HALVES[1])), F.lit(HALVES[0]), F.lit(HALVES[1]), F.lit("date"), key)
     date = F.transform(F.array(moved), lambda v: F.date_add(F.lit(FIRST_DAY).cast("date"), (v["a"] * HALVES[1] + v["b"]).cast("int")))[0]
-    date = F.when(x.contains("/"), F.date_format(date, "MM/dd/yyyy")).when(x.contains("."), F.date_format(date, "dd.MM.yyyy")).otherwise(F.date_format(date, "yyyy-MM-dd"))
+    plain = F.when(x.contains("/"), F.date_format(date, "M/d/yyyy")).when(x.contains("."), F.date_format(date, "d.M.yyyy")).otherwise(F.date_format(date, "yyyy-M-d"))
+    date = F.when(short, plain).when(x.contains("/"), F.date_format(date, "MM/dd/yyyy")).when(x.contains("."), F.date_format(date, "dd.MM.yyyy")).otherwise(F.date_format(date, "yyyy-MM-dd"))
     name = F.concat(F.lit("u"), F.substring(F.sha2(F.concat(F.lit(f"{key}|mail|"), F.lower(x)).cast("binary"), 256), 1, 12), F.regexp_extract(x, "@.*$", 0))
     is_card = x.rlike(f"^(?:{CARD})$") & F.length(own).between(13, 19) & (luhn(own) == 0)
+    bare = F.replace(x, F.lit(" "), F.lit(""))
+    is_iban = x.rlike(f"^{IBAN}$") & F.length(bare).between(15, 34) & (mod97(F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 4))) == 1)
     is_ssn = x.rlike(f"^{SSN}$") & ~x.rlike(r"^(?:000|666|9\d\d)-|-00-|-0000$")
     is_ip = x.rlike(f"^{IPV4}$") & F.forall(octets, lambda o: o.cast("int") < 256)
     is_date = x.rlike(f"^(?:{DATE})$") & day.between(0, DAYS - 1)
     is_phone = x.rlike(f"^(?:{PHONE})$") & F.length(own).between(8, 15)
     return (
-        F.when(x.contains("@"), name).when(is_ip, address).when(is_ssn, placed(x, permuted(own, "ssn", key))).when(is_date, date)
+        F.when(x.contains("@"), name).when(is_iban, iban(x, key)).when(is_ip, address).when(is_ssn, placed(x, permuted(own, "ssn", key))).when(is_date, date)
         .when(is_phone, placed(x, permuted(own, "phone", key))).when(is_card, placed(x, card)).otherwise(x)
     )
 
