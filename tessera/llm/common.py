@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 #: White space between words: space and 09 to 0D.
 WORD = r"[^\x20\x09-\x0D]+"
-BATCH_BYTES = 16 << 20
-CHUNK_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,11 +39,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a table in the shared folder: later stages don't run it again, and no executor's loss removes it."""
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """df from a table in the shared folder: later stages don't run it again, and no executor's loss removes it. Tables of
+    `spent`, which cut has returned before and nothing needs any more, are deleted."""
     path = new_path(df.sparkSession, "table")
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    drop(*spent)
+    return out
+
+
+def drop(*spent: DataFrame) -> None:
+    """Deletes the tables of what cut has returned."""
+    for df in spent:
+        delete(df.sparkSession, df.cut_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def arrow_limits(spark: SparkSession) -> None:
