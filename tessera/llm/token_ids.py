@@ -9,12 +9,14 @@ The format (a Parquet table, as executors write only through Spark): `code` has
 `shards` has part, shard, n_docs, n_tokens, doc_ids (64-bit; the first null_ids of them are null), doc_tokens, checkpoints (64-bit bit offsets) and
 bits (most significant bit first, padded). Shards in order of (part, shard) have the documents in order.
 
-Null and empty texts are id 0 alone. Rows without a doc_id come first; rows of one doc_id follow each other in order of
+A task encodes each distinct unit (a space and what follows it up to the next one) once. Ids are two bytes each until they are
+written, if the vocabulary allows. Null and empty texts are id 0 alone; a long text is encoded in pieces that part at units. Rows without a doc_id come first; rows of one doc_id follow each other in order of
 a hash of their ids. Extra columns are ignored. A table without rows has no shards.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -34,8 +36,10 @@ END = 0
 LONGEST = 18
 BLOCK = 256
 SHARD = 4 << 20
-#: Bytes of text that are encoded at once.
-ENCODE = 1 << 20
+#: Bytes of text whose ids are looked up at once; a longer text goes in pieces.
+PIECE = 1 << 20
+#: Units whose ids a task remembers, and the longest of them in bytes.
+KNOWN, LONG = 1 << 19, 64
 
 
 @cache
@@ -47,26 +51,156 @@ def tokenizer(path: str):
     return found
 
 
+def width(path: str) -> int:
+    """Bytes of an id."""
+    return 2 if tokenizer(path).get_vocab_size() <= 1 << 16 else 4
+
+
+# second bytes of white space in UTF-8, after C2, E1, E2 or E3
+WHITE_LEAD, WHITE_NEXT = np.zeros(256, bool), np.zeros(256, bool)
+WHITE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+WHITE_NEXT[[0x80, 0x81, 0x85, 0x9A, 0xA0]] = True
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+MARK[0x21:0x7F] = True
+MARK[0x30:0x3A] = False
+MARK &= ~LETTER
+LINE_END = 0x0A
+
+
+def cuts(data: np.ndarray) -> np.ndarray:
+    """A mask of places where a byte-level tokenizer's words begin, whatever else is in the text: at a space before
+    something else than white space (it goes with the word after it, and of a run of white space all but the last goes on its
+    own), at a mark after a letter, and on both sides of a line end that stands alone between ASCII characters."""
+    out = np.zeros(len(data), bool)
+    if len(data) < 3:
+        return out
+    at = np.flatnonzero(data[:-1] == 0x20)
+    after = data[at + 1]
+    white = WHITE_LEAD[after] & WHITE_NEXT[data[np.minimum(at + 2, len(data) - 1)]]
+    out[at[(after > 0x20) & ~white]] = True
+    out[1:] |= MARK[data[1:]] & LETTER[data[:-1]]
+    seen = lambda x: (x > 0x20) & (x < 0x7F)
+    at = 1 + np.flatnonzero(data[1:-1] == LINE_END)
+    at = at[seen(data[at - 1]) & seen(data[at + 1])]
+    out[at] = out[at + 1] = True
+    return out
+
+
+class Encoder:
+    """Ids of texts by their units, the stretches between cuts: the library encodes each distinct unit once, and numpy
+    puts their ids together. The ids are those of the whole text, as the library parts texts at the cuts too. Texts are
+    units themselves if the tokenizer isn't a plain byte-level one."""
+
+    def __init__(self, path: str) -> None:
+        self.coder, self.kind = tokenizer(path), np.dtype(f"<u{width(path)}")
+        how = json.loads(self.coder.to_str())
+        words = how.get("pre_tokenizer") or {}
+        self.parted = how.get("normalizer") is None and words.get("type") == "ByteLevel" and words.get("use_regex") and not words.get("add_prefix_space")
+        self.parted = bool(self.parted) and all(x["special"] for x in how.get("added_tokens", []))
+        between = self.coder.encode("\n", add_special_tokens=False).ids
+        self.between = between[0] if self.parted and len(between) == 1 else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = {}
+        self.flat, self.start, self.size = np.array([END], self.kind), np.zeros(1, np.int64), np.ones(1, np.int64)  # slot 0 is the end
+
+    def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, and each one's number of ids."""
+        lists = [x.ids for x in self.coder.encode_batch_fast(units, add_special_tokens=False)]
+        size = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter((i for x in lists for i in x), self.kind, int(size.sum())), size
+
+    def encode_joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units without white space but a space before them: as one text with line ends between, which are
+        tokens of their own there."""
+        ids = np.array(self.coder.encode("\n".join(units), add_special_tokens=False).ids, self.kind)
+        between = ids == self.between
+        parts = np.concatenate([[-1], np.flatnonzero(between), [len(ids)]])
+        return ids[~between], np.diff(parts) - 1
+
+    def slots(self, units: list[bytes]) -> np.ndarray:
+        """Where the ids of distinct units are."""
+        found = list(map(self.known.get, units))
+        new = [k for k, at in enumerate(found) if at is None]
+        if new and self.known and len(self.known) + len(new) > KNOWN:
+            self.forget()
+            found, new = [None] * len(units), list(range(len(units)))
+        plain, other = [], []
+        for k in new:
+            unit = units[k].decode()
+            word = unit[1:] if unit[:1] == " " else unit
+            (plain if self.between is not None and word.split() == [word] else other).append((k, unit))
+        for some, encode in ((plain, self.encode_joined), (other, self.encode)):
+            if some:
+                ids, size = encode([unit for _, unit in some])
+                first = len(self.start)
+                self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+                self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
+                for at, (k, _) in enumerate(some, first):
+                    found[k] = at
+                    if len(units[k]) <= LONG:
+                        self.known[units[k]] = at
+        return np.array(found, np.int64)
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the number of ids before each text."""
+        edge = np.append(cuts(data), False) if self.parted else np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        edges = np.flatnonzero(edge)
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
+        units = units.dictionary_encode()
+        slots = self.slots(units.dictionary.to_pylist())
+        slots = slots[units.indices.to_numpy()] if len(edges) > 1 else np.zeros(0, np.int64)
+        before = np.searchsorted(edges, offsets)
+        if end:
+            slots = np.insert(slots, before[1:], 0)
+            before = before + np.arange(len(before))
+        size = self.size[slots]
+        done = np.append(0, np.cumsum(size))
+        return self.flat[np.arange(done[-1]) + np.repeat(self.start[slots] - done[:-1], size)], done[before]
+
+    def long(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one text, in pieces of about PIECE bytes that end at cuts."""
+        parts, at = [], 0
+        while at < len(data):
+            stop, reach = len(data), PIECE
+            while self.parted and at + reach < len(data):
+                found = np.flatnonzero(cuts(data[at : at + reach]))
+                if len(found) and found[-1] > 0:
+                    stop = at + int(found[-1])
+                    break
+                reach *= 2
+            parts.append(self.ids(data[at:stop], np.array([0, stop - at]), False)[0])
+            at = stop
+        return np.concatenate([*parts, np.array([END], self.kind)])
+
+
 def encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, ids (four bytes each, with the end) from doc_id and text."""
+    """doc_id, ids (two bytes each, four for a larger vocabulary, with the end) from doc_id and text."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    coder = tokenizer(path)
+    encoder = Encoder(path)
     for b in batches:
-        texts = b.column(1).to_pylist()
-        _, offsets = common.bytes_of(b.column(1))
-        for i, j in common.chunks(offsets, ENCODE):
-            found = coder.encode_batch_fast([x or "" for x in texts[i:j]], add_special_tokens=False)
-            ids = [np.array([*x.ids, END], "<u4").tobytes() for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, offsets = common.bytes_of(b.column(1))
+        for i, j in common.chunks(offsets, PIECE):
+            text, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            if j == i + 1 and len(text) > PIECE:
+                ids = encoder.long(text)
+                at = np.array([0, len(ids)])
+            else:
+                ids, at = encoder.ids(text, at)
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((at * ids.itemsize).astype(np.int64)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), raw.cast(pa.binary())], ["doc_id", "ids"])
+
+
+def counted(kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in batches:
         ids, _ = common.bytes_of(b.column(1))
-        n = np.bincount(np.frombuffer(ids.tobytes(), "<u4"))
+        n = np.bincount(np.frombuffer(ids.tobytes(), kind))
         total = np.pad(total, (0, max(0, len(n) - len(total))))
         total[: len(n)] += n
     met = np.flatnonzero(total)
@@ -160,16 +294,16 @@ SHARDS = (
 )
 
 
-def sharded(lengths: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sharded(lengths: np.ndarray, kind: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, part, shard = canonical(lengths), TaskContext.get().partitionId(), 0
     held: list[tuple[int | None, bytes]] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+        ids = np.frombuffer(b"".join(x for _, x in held), kind)
         bits, checkpoints = packed(ids, lengths, codes)
         doc_ids = np.array([d or 0 for d, _ in held], "<i8").tobytes()
-        doc_tokens = np.array([len(x) // 4 for _, x in held], "<i8").tobytes()
+        doc_tokens = np.array([len(x) // ids.itemsize for _, x in held], "<i8").tobytes()
         nulls = sum(d is None for d, _ in held)  # these come first
         row = [part, shard, len(held), len(ids), doc_ids, nulls, doc_tokens, checkpoints.astype("<i8").tobytes(), bits]
         names = [x.split()[0] for x in SHARDS.split(", ")]
@@ -191,58 +325,77 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, longest: in
     spark = docs.sparkSession
     common.arrow_limits(spark)
     file = vocabulary or public_tokenizers.path(TOKENIZER)
-    rows = common.cut(docs.select("doc_id", "text").mapInArrow(lambda it: encoded(file, it), "doc_id long, ids binary"))
-    counts = rows.mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row an id of the vocabulary
+    kind = f"<u{width(file)}"
+    table = common.cut(docs.select("doc_id", "text").mapInArrow(lambda it: encoded(file, it), "doc_id long, ids binary"))
+    counts = table.mapInArrow(lambda it: counted(kind, it), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # a row an id of the vocabulary
     ids, n = counts.column("id").to_numpy(), counts.column("n").to_numpy()
     total = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
     total[ids] = n
     lengths = code_lengths(total, longest)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{path}/code")
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc()]
-    rows = rows.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order)
-    rows.mapInArrow(lambda it: sharded(lengths, it), SHARDS).write.option("compression", "none").parquet(f"{path}/shards")
+    # equal rows part by their place in the table, so that many of them don't meet in one task
+    rows = table.withColumn("_hash", F.xxhash64("ids")).withColumn("_place", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash").asc(), F.col("_place").asc()]
+    rows = rows.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    rows.mapInArrow(lambda it: sharded(lengths, kind, it), SHARDS).write.option("compression", "none").parquet(f"{path}/shards")
+    common.drop(table)
 
 
-def decoded(lengths: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pieces(lengths: np.ndarray, batches: Iterator[pa.RecordBatch]):
+    """doc_ids (null ones first), starts, numbers of ids and ids of each shard, and how many of the first have no doc_id."""
     decoder = table(lengths, canonical(lengths)) if lengths.any() else None
     for b in batches:
         for r in b.to_pylist():
             ids = unpacked(r["bits"], np.frombuffer(r["checkpoints"], "<i8"), r["n_tokens"], decoder).astype("<u4")
             sizes, docs = np.frombuffer(r["doc_tokens"], "<i8"), np.frombuffer(r["doc_ids"], "<i8")
             ends = np.cumsum(sizes)
-            raw = ids.tobytes()
-            each = [raw[4 * (e - s) : 4 * e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            start = r["base"] + ends - sizes
             doc = pa.array(docs, mask=np.arange(len(docs)) < r["null_ids"])
-            yield pa.RecordBatch.from_arrays([doc, pa.array(start), pa.array(sizes), pa.array(each, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+            raw = ids.tobytes()
+            each = (raw[4 * (e - s) : 4 * e] for e, s in zip(ends.tolist(), sizes.tolist(), strict=True))
+            yield [doc, pa.array(r["base"] + ends - sizes), pa.array(sizes)], each
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (four bytes each) from the format at path."""
+def decoded(lengths: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for columns, each in pieces(lengths, batches):
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(list(each), pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+
+
+def digested(lengths: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for columns, each in pieces(lengths, batches):
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([zlib.crc32(x) for x in each], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def shards(spark: SparkSession, path: str) -> tuple[np.ndarray, DataFrame]:
+    """The code lengths at path, and its shards with `base`, the ids of all documents before each."""
     common.arrow_limits(spark)
     lengths = np.frombuffer(spark.read.parquet(f"{path}/code").first()[0], np.uint8)
-    shards = spark.read.parquet(f"{path}/shards")
-    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
+    found = spark.read.parquet(f"{path}/shards")
+    parts = found.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
     before = lambda w: F.coalesce(F.sum(w).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", before("_n").alias("_before"))  # a row for each of the partitions that wrote
     within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = shards.select("part", "shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("_within")).join(parts, "part")
+    base = found.select("part", "shard", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("_within")).join(parts, "part")
     base = base.select("part", "shard", (F.col("_within") + F.col("_before")).alias("base"))
-    rows = shards.join(base, ["part", "shard"])
+    return lengths, found.join(base, ["part", "shard"])
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids (four bytes each) from the format at path."""
+    lengths, rows = shards(spark, path)
     return rows.mapInArrow(lambda it: decoded(lengths, it), "doc_id long, start long, n_tokens long, ids binary")
 
 
-def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        crc = pa.array([zlib.crc32(x) for x in b.column(3).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
+def digest(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 (of the ids as four bytes each) from the format at path."""
+    lengths, rows = shards(spark, path)
+    return rows.mapInArrow(lambda it: digested(lengths, it), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Writes docs to a new path in the shared folder and returns doc_id, start, n_tokens and ids_crc32 from there."""
     path = common.new_path(docs.sparkSession, "token_ids")
     write(docs, path)
-    return read(docs.sparkSession, path).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return digest(docs.sparkSession, path)
 
 
 def op7_token_ids(spark, sf_dir: str) -> DataFrame:
