@@ -39,7 +39,7 @@ SHARD = 4 << 20
 #: Bytes of text whose ids are looked up at once; a longer text goes in pieces.
 PIECE = 1 << 20
 #: Units whose ids a task remembers, and the longest of them in bytes.
-KNOWN, LONG = 1 << 19, 64
+KNOWN, LONG = 1 << 20, 64
 
 
 @cache
@@ -60,18 +60,18 @@ def width(path: str) -> int:
 WHITE_LEAD, WHITE_NEXT = np.zeros(256, bool), np.zeros(256, bool)
 WHITE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 WHITE_NEXT[[0x80, 0x81, 0x85, 0x9A, 0xA0]] = True
-LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
-LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
-MARK[0x21:0x7F] = True
-MARK[0x30:0x3A] = False
-MARK &= ~LETTER
+# ASCII letters and digits, other printing ASCII, and second bytes of the letters whose first byte is C3
+WORDY, MARK, LATIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+WORDY[0x30:0x3A] = WORDY[0x41:0x5B] = WORDY[0x61:0x7B] = LATIN[0x80:0xC0] = MARK[0x21:0x7F] = True
+LATIN[[0x97, 0xB7]] = False
+MARK &= ~WORDY
 LINE_END = 0x0A
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
     """A mask of places where a byte-level tokenizer's words begin, whatever else is in the text: at a space before
     something else than white space (it goes with the word after it, and of a run of white space all but the last goes on its
-    own), at a mark after a letter, and on both sides of a line end that stands alone between ASCII characters."""
+    own), at a mark after a letter or digit, and on both sides of a line end that stands alone between ASCII characters."""
     out = np.zeros(len(data), bool)
     if len(data) < 3:
         return out
@@ -79,7 +79,8 @@ def cuts(data: np.ndarray) -> np.ndarray:
     after = data[at + 1]
     white = WHITE_LEAD[after] & WHITE_NEXT[data[np.minimum(at + 2, len(data) - 1)]]
     out[at[(after > 0x20) & ~white]] = True
-    out[1:] |= MARK[data[1:]] & LETTER[data[:-1]]
+    out[1:] |= MARK[data[1:]] & WORDY[data[:-1]]
+    out[2:] |= MARK[data[2:]] & LATIN[data[1:-1]] & (data[:-2] == 0xC3)
     seen = lambda x: (x > 0x20) & (x < 0x7F)
     at = 1 + np.flatnonzero(data[1:-1] == LINE_END)
     at = at[seen(data[at - 1]) & seen(data[at + 1])]
@@ -100,10 +101,7 @@ class Encoder:
         self.parted = bool(self.parted) and all(x["special"] for x in how.get("added_tokens", []))
         between = self.coder.encode("\n", add_special_tokens=False).ids
         self.between = between[0] if self.parted and len(between) == 1 else None
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = {}
+        self.known: dict[bytes, int] = {}
         self.flat, self.start, self.size = np.array([END], self.kind), np.zeros(1, np.int64), np.ones(1, np.int64)  # slot 0 is the end
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +113,7 @@ class Encoder:
     def encode_joined(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for units without white space but a space before them: as one text with line ends between, which are
         tokens of their own there."""
-        ids = np.array(self.coder.encode("\n".join(units), add_special_tokens=False).ids, self.kind)
+        ids = np.array(self.coder.encode_batch_fast(["\n".join(units)], add_special_tokens=False)[0].ids, self.kind)
         between = ids == self.between
         parts = np.concatenate([[-1], np.flatnonzero(between), [len(ids)]])
         return ids[~between], np.diff(parts) - 1
@@ -124,26 +122,31 @@ class Encoder:
         """Where the ids of distinct units are."""
         found = list(map(self.known.get, units))
         new = [k for k, at in enumerate(found) if at is None]
-        if new and self.known and len(self.known) + len(new) > KNOWN:
-            self.forget()
-            found, new = [None] * len(units), list(range(len(units)))
-        plain, other = [], []
+        room = len(self.known) + len(new) <= KNOWN
+        groups: dict[tuple[bool, bool], list[tuple[int, str]]] = {(kept, plain): [] for kept in (True, False) for plain in (True, False)}
         for k in new:
             unit = units[k].decode()
             word = unit[1:] if unit[:1] == " " else unit
-            (plain if self.between is not None and word.split() == [word] else other).append((k, unit))
-        for some, encode in ((plain, self.encode_joined), (other, self.encode)):
+            groups[room and len(unit) <= LONG, self.between is not None and word.split() == [word]].append((k, unit))
+        for (kept, plain), some in groups.items():
             if some:
-                ids, size = encode([unit for _, unit in some])
+                ids, size = (self.encode_joined if plain else self.encode)([unit for _, unit in some])
                 first = len(self.start)
                 self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
                 self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
                 for at, (k, _) in enumerate(some, first):
                     found[k] = at
-                    if len(units[k]) <= LONG:
-                        self.known[units[k]] = at
+                if kept:
+                    self.known |= {units[k]: at for at, (k, _) in enumerate(some, first)}
         return np.array(found, np.int64)
 
+    def forget(self) -> None:
+        """Drops the ids of units that aren't known, which come last."""
+        n = len(self.known) + 1
+        if len(self.start) > n:
+            end = int(self.start[n])
+            self.start, self.size, self.flat = self.start[:n].copy(), self.size[:n].copy(), self.flat[:end].copy()
+
     def ids(self, data: np.ndarray, offsets: np.ndarray, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the number of ids before each text."""
         edge = np.append(cuts(data), False) if self.parted else np.zeros(len(data) + 1, bool)
@@ -159,7 +162,9 @@ class Encoder:
             before = before + np.arange(len(before))
         size = self.size[slots]
         done = np.append(0, np.cumsum(size))
-        return self.flat[np.arange(done[-1]) + np.repeat(self.start[slots] - done[:-1], size)], done[before]
+        out = self.flat[np.arange(done[-1]) + np.repeat(self.start[slots] - done[:-1], size)]
+        self.forget()
+        return out, done[before]
 
     def long(self, data: np.ndarray) -> np.ndarray:
         """Ids of one text, in pieces of about PIECE bytes that end at cuts."""
@@ -177,12 +182,18 @@ class Encoder:
         return np.concatenate([*parts, np.array([END], self.kind)])
 
 
+@cache
+def kept_encoder(path: str) -> Encoder:
+    """One a worker process, which remembers units from task to task."""
+    return Encoder(path)
+
+
 def encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, ids (two bytes each, four for a larger vocabulary, with the end) from doc_id and text."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    encoder = Encoder(path)
+    encoder = kept_encoder(path)
     for b in batches:
         data, offsets = common.bytes_of(b.column(1))
         for i, j in common.chunks(offsets, PIECE):
