@@ -1,17 +1,20 @@
 """Operator 6, suffix-array dedup by the interval tree of common prefixes.
 
-The candidates that share an anchor (repeats.py) form a small text; its suffixes that start a window are sorted, the
-lengths of common prefixes of neighbours are taken, and one scan with a stack gives every interval of the tree: a string
-with all its occurrences. An interval whose occurrences all follow one and the same byte is no maximal repeat, for the
-longer string to its left has the same occurrences; those are left out. A document loses the bytes of each repeat of at
-least `length` bytes that also starts in a document with a smaller id.
-
-Most removals don't come from the tree: runs of equal anchor and class hashes are taken as removed before it (repeats.combined),
-so it sees only what is left, snippets of at most 2 * length - gram bytes. Maximal repeats longer than that aren't
-formed, and groups of occurrences aren't returned; only removed bytes are.
-
-Null, empty and short texts lose nothing. Rows of one doc_id are one document's, so none is earlier than the other and
-both are kept; rows without a doc_id are returned as they are. Other columns are ignored. UTF-8 characters may be cut.
+The candidates that share an anchor and what is on one side of it (repeats.py) form a small text; its suffixes that start a
+window are sorted, the lengths of common prefixes of neighbours are taken, and one scan with a stack gives every interval of
+the tree: a string with all its occurrences. An interval whose occurrences all follow one and the same byte is no maximal
+repeat, for the longer string to its left has the same occurrences; those are left out. A document loses the bytes of each
+repeat of at least `length` bytes that also starts in a document with a smaller id.
+
+Whole runs of equal anchor and class hashes are taken as removed before the tree (repeats.combined), so that a passage of
+which a third of the documents have a copy sends a row for each flush: the tree sees what is left, snippets of at most
+2 * length - gram bytes, and groups of longer repeats are joined from these only as removed spans, not as lists of occurrences.
+Parts of over repeats.SALT candidates are dealt out; between these the windows' hashes are compared.
+
+Null, empty and short texts lose nothing. Every row is a text of its own; rows of one doc_id aren't earlier than each other, so
+repeated rows are both kept unless a smaller id has their bytes. A null doc_id is smaller than none and none is smaller than
+it: such rows remove nothing and lose nothing. A table without rows gives none. Very long texts are scanned in pieces.
+Other columns are ignored, whatever their names. UTF-8 characters may be cut.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm import common, repeats
 
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 16
 
 
 def sorted_suffixes(suffixes: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,38 +73,40 @@ def intervals(lcp: np.ndarray, before: np.ndarray, least: int) -> Iterator[tuple
                 yield depth, start, end
 
 
-def maximal_repeats(plan: repeats.Plan, wide, group, windows, sizes):
+def maximal_repeats(plan: repeats.Plan, block: repeats.Block):
     """Rows of windows in suffix order, and the tree's intervals over them."""
-    of, at = windows[0], windows[1]
-    width = int(sizes.max())
-    suffixes = wide[of[:, None], np.minimum(at[:, None] + np.arange(width), wide.shape[1] - 1)]
-    left = sizes[of] - at
+    of, at = block.of, block.at
+    width = int(block.sizes.max())
+    suffixes = block.wide[of[:, None], np.minimum(at[:, None] + np.arange(width), block.wide.shape[1] - 1)]
+    left = block.sizes[of] - at
     suffixes[np.arange(width) >= left[:, None]] = 0
-    order, lcp = sorted_suffixes(suffixes, left, group[of])
-    before = np.where(at > 0, wide[of, np.maximum(at - 1, 0)].astype(np.int64), -1)[order]
-    return order, list(intervals(lcp, before, plan.length)), suffixes
+    order, lcp = sorted_suffixes(suffixes, left, block.group[of])
+    before = np.where(at > 0, block.wide[of, np.maximum(at - 1, 0)].astype(np.int64), -1)[order]
+    return order, list(intervals(lcp, before, plan.length))
 
 
-def shared(plan: repeats.Plan, wide, group, windows, sizes):
+def shared(plan: repeats.Plan, block: repeats.Block) -> np.ndarray:
     """Windows of a block that also start in an earlier document, from the maximal repeats: every occurrence of one in a
     document after its first has all its windows covered."""
-    of, at, doc, _ = windows
-    order, found, suffixes = maximal_repeats(plan, wide, group, windows, sizes)
-    row = np.zeros((len(sizes), int((sizes - plan.length).max()) + 2), np.int64)  # window starts covered, as steps
+    of, at, doc = block.of, block.at, block.doc[block.of]
+    order, found = maximal_repeats(plan, block)
+    row = np.zeros((len(block.sizes), int((block.sizes - plan.length).max()) + 2), np.int64)  # window starts covered, as steps
     for depth, first, last in found:
         members = order[first : last + 1]
         ids = doc[members]
         late = members[ids > ids.min()]
         np.add.at(row, (of[late], at[late]), 1)
         np.add.at(row, (of[late], at[late] + depth - plan.length + 1), -1)
-    known = np.cumsum(row, 1)[of, at] > 0
-    return known, repeats.identities(suffixes[:, : plan.length], group[of])
+    return np.cumsum(row, 1)[of, at] > 0
+
+
+def plan_of(docs: DataFrame, length: int, gram: int) -> repeats.Plan:
+    return repeats.Plan("bytes", length, min(gram, length), True, common.partitions(docs.sparkSession))
 
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, text and the intervals of bytes to remove."""
-    plan = repeats.Plan("bytes", length, min(gram, length), True, common.partitions(docs.sparkSession))
-    return repeats.with_intervals(docs, plan, shared)
+    return repeats.with_intervals(docs, plan_of(docs, length, gram), shared)
 
 
 def kept(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
