@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 19
+#: Rows of some numbers and a name that may be broadcast.
+FEW = 100_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
