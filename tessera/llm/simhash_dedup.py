@@ -54,6 +54,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def among(some: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each x is in some, which is in order."""
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(len(x), bool)
+
+
 def fingerprinted(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offsets = common.bytes_of(b.column(1))
@@ -183,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        now = common.cut(small)
+        now = common.cut(small, now)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             return now.select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
