@@ -1,8 +1,8 @@
 """Named queries with their oracle SQL."""
 
-from tessera.plans import multimodal, relational, scalars, timeseries
+from tessera.plans import engine, multimodal, relational, scalars, timeseries
 
 QUERIES, ORACLES = {}, {}
-for _module in (relational, scalars, timeseries, multimodal):
+for _module in (relational, scalars, timeseries, multimodal, engine):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

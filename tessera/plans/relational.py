@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import int_div
+from tessera.operators.joins import not_in
 from tessera.sources import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,10 +93,9 @@ def join_right(t):
     return t("supplier").join(t("nation"), c("s_nationkey") == c("n_nationkey"), "right").select("s_suppkey", "n_name")
 
 
-@query("SELECT a.c_custkey AS c_custkey, b.s_suppkey AS s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) b ON a.c_custkey = b.s_suppkey")
+@query("SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey - 5")
 def join_full(t):
-    left, right = t("customer").filter(c("c_custkey") % 2 == 0), t("supplier").filter(c("s_suppkey") % 3 == 0)
-    return left.join(right, c("c_custkey") == c("s_suppkey"), "full").select("c_custkey", "s_suppkey")
+    return t("customer").join(t("supplier"), c("c_custkey") == c("s_suppkey") - 5, "full").select("c_custkey", "s_suppkey")
 
 
 @query("SELECT a.n_name AS small, b.n_name AS large FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -138,9 +138,26 @@ def semi_in_subquery(t):
     return t("customer").join(t("orders").filter(c("o_totalprice") > 200000), c("c_custkey") == c("o_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def anti_not_in(t):
-    return t("customer").join(t("orders"), c("c_custkey") == c("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    return not_in(t("customer"), "c_custkey", t("orders").filter(c("o_totalprice") > 400000), "o_custkey").select("c_custkey", "c_name")
+
+
+@query("""SELECT c_custkey, 1 AS list FROM customer WHERE nullif(c_nationkey, 3) NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 10)
+ UNION ALL SELECT c_custkey, 2 FROM customer WHERE c_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM supplier)
+ UNION ALL SELECT c_custkey, 3 FROM customer WHERE nullif(c_nationkey, 3) NOT IN (SELECT s_nationkey FROM supplier WHERE s_nationkey < 0)""")
+def anti_not_in_nulls(t):
+    people = t("customer").select("c_custkey", "c_nationkey", F.nullif(c("c_nationkey"), F.lit(3)).alias("k"))
+    own = t("supplier").select("s_nationkey", F.nullif(c("s_nationkey"), F.lit(3)).alias("n"))
+    lists = [not_in(people, "k", own.filter("s_nationkey < 10"), "s_nationkey"), not_in(people, "c_nationkey", own, "n"), not_in(people, "k", own.filter("s_nationkey < 0"), "s_nationkey")]
+    out = [x.select("c_custkey", F.lit(i).alias("list")) for i, x in enumerate(lists, 1)]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+@query("SELECT o_orderkey, r_name FROM (SELECT o_orderkey, nullif(o_custkey % 7, 3) AS k FROM orders) LEFT JOIN (SELECT r_name, nullif(r_regionkey, 2) AS r FROM region) ON k = r")
+def join_null_keys(t):
+    region = t("region").select("r_name", F.nullif(c("r_regionkey"), F.lit(2)).alias("r"))
+    return t("orders").select("o_orderkey", F.nullif(c("o_custkey") % 7, F.lit(3)).alias("k")).join(region, c("k") == c("r"), "left").select("o_orderkey", "r_name")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
@@ -260,9 +277,9 @@ def intersect(t):
     return a.intersect(b)
 
 
-@query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT n_nationkey % 13 + 20 AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
 def except_(t):
-    return t("nation").select(c("n_nationkey").alias("k")).subtract(_sides(t)[1])
+    return t("nation").select((c("n_nationkey") % 13 + 20).alias("k")).subtract(_sides(t)[1])
 
 
 for _d in (QUERIES, ORACLES):

@@ -11,11 +11,12 @@ import re
 import uuid
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from tessera import dialect
+from tessera.rows import RowApi
 
 # Type names and Spark's types.
 TYPES = {
@@ -59,9 +60,11 @@ def numbered(text: str) -> str:
     return "".join(f"?{next(n)}" if t == "?" else t for t in dialect.TOKEN.findall(text))
 
 
-class Database:
-    def __init__(self, spark: SparkSession, path: str):
+class Database(RowApi):
+    def __init__(self, spark: SparkSession, path: str, max_result_rows: int | None = None, timeout: float | None = None):
+        """max_result_rows and timeout (seconds) bound what `query` and `for_each` of RowApi bring to the driver."""
         self.spark, self.path = spark.newSession(), path.rstrip("/")
+        self.max_result_rows, self.timeout = max_result_rows, timeout
         for k, v in {"spark.sql.session.timeZone": "UTC", "spark.sql.timestampType": "TIMESTAMP_NTZ", "spark.sql.ansi.enabled": "true"}.items():
             self.spark.conf.set(k, v)
         self.tables: dict[str, Defined] = {}
@@ -90,17 +93,20 @@ class Database:
     def _known(self, name: str) -> dialect.Table | None:
         t = self.tables.get(name.lower())
         whole = lambda s: frozenset(f.name.lower() for f in s if f.dataType.typeName() in ("long", "integer", "short"))
-        return t and dialect.Table(t.key, t.time, whole(t.schema))
+        return t and dialect.Table(t.key, t.time, whole(t.schema), frozenset(f.name.lower() for f in t.schema))
 
     def _sql(self, text: str, params=()) -> DataFrame:
-        text = re.sub(r"(?i)\blast_insert_id\s*\(\s*\)", "NULL" if self.last_id is None else str(self.last_id), text)
-        return self.spark.sql(dialect.rewrite(text, self._known), args={f"p{i}": v for i, v in enumerate(params, 1)} or None)
+        return self.spark.sql(dialect.rewrite(text, self._known, self.last_id), args={f"p{i}": v for i, v in enumerate(params, 1)} or None)
 
     def _written(self, name: str, rows: DataFrame) -> str:
         path = f"{self.path}/{name.lower()}/{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(path)
         return path
 
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
     def execute(self, sql: str, params=()) -> DataFrame | int | None:
         """Rows of a query (lazily), the number of changed rows, or None."""
         sql = numbered(sql.strip().rstrip(";").strip())
@@ -183,52 +189,80 @@ class Database:
         given = lambda f: F.col(have[f.name.lower()]) if f.name.lower() in have else F.expr(dialect.rewrite(t.defaults.get(f.name, "NULL")))
         columns = [given(f).cast(f.dataType).alias(f.name) for f in t.schema]
         rows = rows.select(*columns)
-        own = t.counter and t.counter.lower() not in have
-        if own:  # ids without gaps: numbered from the written rows' counts a partition, not by one task
-            ranked = self.spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])), rows.schema.add("_at", "long"))
-            rows = ranked.withColumn(t.counter, F.col("_at") + t.next).drop("_at")
+        staged = None
+        if t.counter and t.counter.lower() not in have:
+            staged = self._written(name, rows.withColumn("_place", F.monotonically_increasing_id()))
+            rows = self._counted(self.spark.read.parquet(staged), t)
         path = self._written(name, rows)
+        if staged:
+            self._delete(staged)
         new = self.spark.read.schema(t.schema).parquet(path)
-        checks = [F.count(F.when(F.col(c).isNull(), 1)).alias(f"_null_{c}") for c in t.required]
-        checks += [F.count(F.when(F.size(c) != n, 1)).alias(f"_size_{c}") for c, n in t.sizes.items()]
-        checks += [F.max(t.counter).alias("_last")] if t.counter else []
-        seen = new.agg(F.count("*").alias("_n"), *checks).first().asDict()
-        if bad := [k for k, v in seen.items() if k.startswith(("_null_", "_size_")) and v]:
-            raise ValueError(f"not null or vector size violated: {bad}")
-        if t.declared:
-            again = new.groupBy(t.key).count().filter("count > 1").select(t.key)
-            if t.paths:
-                again = again.unionByName(new.join(self.table(name).select(t.key), t.key, "left_semi").select(t.key))
-            if not again.isEmpty():
-                raise ValueError(f"duplicate key in {name!r}")
+        seen = self._checked(name, t, new, path, self.table(name) if t.paths else None)
         if t.counter and seen["_last"] is not None:
             self.last_id = seen["_last"]
             t = replace(t, next=max(t.next, seen["_last"] + 1))
         self._put(name, replace(t, paths=(*t.paths, path)))
         return seen["_n"]
 
-    def update(self, name, changes, where, params=()):
+    def _counted(self, rows: DataFrame, t: Defined) -> DataFrame:
+        """Ids without gaps: a row's place in its task, plus the rows of the tasks before (one number a task), plus the counter."""
+        task, place = F.shiftright("_place", 33).alias("_task"), F.col("_place").bitwiseAND((1 << 33) - 1)
+        sizes = sorted(tuple(r) for r in rows.groupBy(task).count().collect())
+        starts, at = [], t.next
+        for k, n in sizes:
+            starts.append((k, at))
+            at += n
+        starts = self.spark.createDataFrame(starts, "_task long, _start long")
+        numbered = rows.withColumn("_task", task).join(F.broadcast(starts), "_task")
+        return numbered.withColumn(t.counter, F.col("_start") + place).select(*[f.name for f in t.schema])
+
+    def _checked(self, name: str, t: Defined, new: DataFrame, path: str, others: DataFrame | None, keys: bool = True) -> dict:
+        """Number of new rows and the largest counter; if a rule is broken, new's folder is deleted and an error raised."""
+        checks = [F.count(F.when(F.col(c).isNull(), 1)).alias(f"_null_{c}") for c in t.required]
+        checks += [F.count(F.when(F.size(c) != n, 1)).alias(f"_size_{c}") for c, n in t.sizes.items()]
+        checks += [F.max(t.counter).alias("_last")] if t.counter else []
+        seen = new.agg(F.count("*").alias("_n"), F.min(t.key).alias("_low"), F.max(t.key).alias("_high"), *checks).first().asDict()
+        broken = [k for k, v in seen.items() if k.startswith(("_null_", "_size_")) and v]
+        error = f"not null or vector size violated: {broken}" if broken else None
+        if not error and t.declared and keys:
+            again = new.groupBy(t.key).count().filter("count > 1").select(t.key)
+            if others is not None and seen["_low"] is not None:  # only row groups that can hold a new key are read
+                old = others.select(t.key).filter(F.col(t.key).between(F.lit(seen["_low"]), F.lit(seen["_high"])))
+                again = again.unionByName(new.join(old, t.key, "left_semi").select(t.key))
+            error = None if again.isEmpty() else f"duplicate key in {name!r}"
+        if error:
+            self._delete(path)
+            raise ValueError(error)
+        return seen
+
+    def update(self, rest, params=()):
+        head, *more = dialect.clauses(rest, "SET", "WHERE")
+        name, changes, where = head, *(more + [""])[:2]
+        if not re.fullmatch(NAME, name) or not more:
+            raise ValueError(f"bad UPDATE of {head!r}")
         t, sets = self._get(name), {}
         for change in parts(changes):
             column, _, value = change.partition("=")
             sets[column.strip().lower()] = value.strip()
         if unknown := set(sets) - {f.name.lower() for f in t.schema}:
             raise ValueError(f"no columns {sorted(unknown)}")
-        condition = f"coalesce({where}, false)" if where else "true"
         value = lambda f: f"CASE WHEN _hit THEN {sets[f.name.lower()]} ELSE {f.name} END AS {f.name}"
         columns = ", ".join(value(f) if f.name.lower() in sets else f.name for f in t.schema)
-        rows = self._sql(f"SELECT {columns} FROM (SELECT *, {condition} AS _hit FROM {name})", params)
-        n = self._sql(f"SELECT count_if({condition}) AS n FROM {name}", params).first()[0]
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in t.schema])
-        self._put(name, replace(t, paths=(self._written(name, rows),)))
-        return n
+        rows = self._sql(f"SELECT _hit, {columns} FROM (SELECT *, {f'coalesce({where}, false)' if where else 'true'} AS _hit FROM {name}) AS {name}", params)
+        seen = Observation()
+        rows = rows.observe(seen, F.count_if("_hit").alias("n")).select(*[F.col(f.name).cast(f.dataType) for f in t.schema])
+        path = self._written(name, rows)
+        self._checked(name, t, self.spark.read.schema(t.schema).parquet(path), path, None, t.key.lower() in sets)
+        self._put(name, replace(t, paths=(path,)))
+        return seen.get["n"]
 
     def delete(self, name, where, params=()):
         t, condition = self._get(name), f"coalesce({where}, false)" if where else "true"
-        before = self.table(name).count()
-        path = self._written(name, self._sql(f"SELECT * FROM {name} WHERE NOT {condition}", params))
+        seen = Observation()
+        rows = self._sql(f"SELECT *, {condition} AS _hit FROM {name}", params).observe(seen, F.count_if("_hit").alias("n"))
+        path = self._written(name, rows.filter("NOT _hit").drop("_hit"))
         self._put(name, replace(t, paths=(path,)))
-        return before - self.table(name).count()
+        return seen.get["n"]
 
     def save(self, name="", params=()):
         self.saved.append((name or "", dict(self.tables)))
@@ -268,7 +302,7 @@ ACTIONS = [
     (rf"create\s+(?:{NAME}\s+)?index\s+({NAME})\s+on\s+({NAME}).*", Database.create_index),
     (rf"drop\s+index\s+({NAME}).*", Database.drop_index),
     (rf"insert\s+into\s+({NAME})\s*(?:\(([^()]*)\))?\s*values\s*(.*)", Database.insert),
-    (rf"update\s+({NAME})\s+set\s+(.*?)(?:\s+where\s+(.*))?", Database.update),
+    (r"update\s+(.*)", Database.update),
     (rf"delete\s+from\s+({NAME})(?:\s+where\s+(.*))?", Database.delete),
     (r"begin(?:\s+transaction)?", Database.save),
     (r"commit", Database.commit),

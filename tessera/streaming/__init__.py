@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from tessera.functions.scalar import bucket_seconds
 
@@ -17,7 +17,10 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
 
 
 def bucketed(stream: DataFrame, width: str, ts: str, late: str, *aggs: Column, by: Sequence[str] = ()) -> DataFrame:
-    """Tumbling aggregates; rows later than the watermark are dropped and state is bounded by it."""
+    """Tumbling aggregates; rows later than the watermark are dropped and state is bounded by it. Times without a zone, which
+    Spark's watermarks don't take, are read as the session zone's, and so are the buckets."""
+    if isinstance(stream.schema[ts].dataType, TimestampNTZType):
+        stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
     window = F.window(F.col(ts), f"{bucket_seconds(width)} seconds")
     grouped = stream.withWatermark(ts, late).groupBy(window.alias("_w"), *by).agg(*aggs)
     return grouped.select(F.col("_w.start").alias("bucket"), *[c for c in grouped.columns if c != "_w"])
