@@ -1,14 +1,16 @@
 """Operator 3, benchmark decontamination by winnowing.
 
 A text is a row of word hashes; of each `window` of words, the least hash of its `gram`-word runs is its fingerprint, so two
-texts that share a window share a fingerprint. Pass 1 finds the documents that share one with an item. Pass 2 extends
-their fingerprints to whole windows and matches these with the items', and marks the words in them. An item of fewer
-words than a window is one window of its own length. Only DataFrame functions; hashes have 64 bits.
+texts that share a window share a fingerprint. Pass 1 joins the documents' fingerprints with the items'. Pass 2 extends those
+that are met, where they stand in a document, to the whole windows around them, and the words of windows that an item has
+are hit. An item of fewer words than a window is one window of its own length. Only DataFrame functions; hashes have 64 bits.
 
 Words: A-Z lower-cased, runs of characters other than ASCII controls, space and punctuation. Null and empty texts have none
 and match nothing. Items without words or without an id are left out; repeated items count once, by id. Documents are
-matched by (doc_id, hash of the text), so repeated rows have the same result each, with or without an id. Extra columns
-are ignored. Fingerprints and hits are broadcast only if they are counted to be at most BROADCAST rows; else they are shuffled.
+matched by (doc_id, hash of the text), so repeated rows have the same result each, with or without an id. Empty tables of
+documents or items give no rows or no hits. A long text is one row of hashes, 8 bytes a word and 8 for each step of
+doubling. Extra columns are ignored, whatever their names. What is joined to documents is broadcast only if it is counted to
+be at most BROADCAST rows (or ids); else it is shuffled. Windows with the same items share one list of these.
 """
 
 from __future__ import annotations
@@ -67,57 +69,64 @@ def least(df: DataFrame, gram: int, window: int) -> DataFrame:
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df, a written table, to be broadcast if it is small."""
+    """df, a written table of a few numbers and a name a row, to be broadcast if it is small."""
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
+def entries(n: int, window: int) -> Column:
+    """Windows of n words: their hash, place and print (of shorter ones the hash itself)."""
+    each = F.transform(whole(F.col(f"_g{n}"), n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("hash"), i.alias("at"), h.alias("print")))
+    return each if n < window else F.zip_with(each, "_least", lambda w, p: F.struct(w["n"].alias("n"), w["hash"].alias("hash"), w["at"].alias("at"), p.alias("print")))
+
+
 def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, shortest: int = 1) -> DataFrame:
     """doc_id, _key (hash of the text), n_words, n_hit and items (ids, in order of their strings) of each row of docs. Items of fewer than `shortest` words are left out."""
-    known = items.filter("item_id IS NOT NULL").select("item_id", hashes("text").alias("_g1")).filter(F.size("_g1") >= shortest)
+    known = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), hashes("text").alias("_g1")).filter(F.size("_g1") >= shortest)
     known = common.cut(known.withColumn("_n", F.least(F.size("_g1"), F.lit(window))))
     lengths = sorted(r[0] for r in known.select("_n").distinct().collect())  # at most `window`
-    short = [n for n in lengths if n < window]
     sizes = lengths + [gram]
-
-    def windows(df: DataFrame) -> Column:
-        each = []
-        for n in lengths:
-            each.append(F.transform(whole(F.col(f"_g{n}"), n), lambda h, i: F.struct(F.lit(n).alias("n"), h.alias("hash"), i.alias("at"))))  # noqa: B023
-        return F.concat(*each)
-
     rows = docs.select("doc_id", F.xxhash64("text").alias("_key"), "text")
+    none = F.array().cast("array<string>")
     if not lengths:
-        return rows.select("doc_id", "_key", F.size(hashes("text")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    long_items = with_grams(known, sizes)
+        return rows.select("doc_id", "_key", F.size(hashes("text")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+
     # an item's windows have its own length: `window`, or all of a shorter item
-    own = long_items.select("item_id", "_n", F.explode(windows(long_items)).alias("_w")).filter("_w.n = _n")
-    own = own.groupBy(F.col("_w.n").alias("n"), F.col("_w.hash").alias("hash")).agg(F.collect_set(F.col("item_id").cast("string")).alias("_items"))
-    own = bounded(common.cut(own))
-    anchors = least(long_items, gram, window).filter(F.col("_n") == window).select(F.explode("_least").alias("hash"), F.lit(0).alias("n"))
-    anchors = anchors.unionByName(own.filter(F.col("n") < window).select("hash", "n")).distinct()
-    anchors = bounded(common.cut(anchors))
-
-    marked = least(with_grams(rows.withColumn("_g1", hashes("text")).drop("text"), short + [gram]), gram, window)
-    prints = [F.transform(F.array_distinct("_least"), lambda h: F.struct(F.lit(0).alias("n"), h.alias("hash")))]
-    for n in short:
-        prints.append(F.transform(F.array_distinct(whole(F.col(f"_g{n}"), n)), lambda h: F.struct(F.lit(n).alias("n"), h.alias("hash"))))  # noqa: B023
-    each = marked.select("doc_id", "_key", F.explode(F.concat(*prints)).alias("_p")).select("doc_id", "_key", "_p.n", "_p.hash")
-    some = common.cut(each.join(anchors, ["n", "hash"], "left_semi").select("doc_id", "_key").distinct())
-    wanted = bounded(some.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")))
+    all_of = F.concat(*[entries(n, window) for n in lengths])
+    long_items = least(with_grams(known, sizes), gram, window)
+    base = long_items.select("item", "_n", F.explode(all_of).alias("_w")).filter("_w.n = _n")
+    base = common.cut(base.select("item", "_w.n", "_w.hash", "_w.print").distinct(), known)
+    # windows that the same items have are one set, so that a passage that many items share is listed once
+    of_items = [F.count("*").alias("_size"), F.bit_xor(F.xxhash64("item")).alias("_x"), F.bit_xor(F.xxhash64("item", F.lit(1))).alias("_y")]
+    own = base.groupBy("n", "hash", "print").agg(*of_items).withColumn("set", F.xxhash64("_size", "_x", "_y"))
+    own = common.cut(own.select("n", "hash", "print", "set"))
+    first = own.groupBy("set").agg(F.min(F.struct("n", "hash")).alias("_f")).select("set", "_f.n", "_f.hash")
+    members = bounded(common.cut(base.join(first, ["n", "hash"]).select("set", "item"), base))
+    anchors = bounded(common.cut(own.select("n", "print").distinct()))
+    own = bounded(own.drop("print"))
+
+    # pass 1: prints of each document that an item has, too
+    marked = least(with_grams(rows.withColumn("_g1", hashes("text")).drop("text"), sizes), gram, window)
+    prints = [F.transform(F.array_distinct(F.col("_least") if n == window else whole(F.col(f"_g{n}"), n)), lambda h: F.struct(F.lit(n).alias("n"), h.alias("print"))) for n in lengths]  # noqa: B023
+    each = marked.select("doc_id", "_key", F.explode(F.concat(*prints)).alias("_p")).select("doc_id", "_key", "_p.n", "_p.print")
+    some = common.cut(each.join(anchors, ["n", "print"], "left_semi").distinct())
+    named = some.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.col("n").alias("_n"), F.col("print").alias("_p"))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
-    chosen = rows.join(wanted, same, "left_semi").dropDuplicates(["doc_id", "_key"])
-    full = with_grams(chosen.withColumn("_g1", hashes("text")).drop("text"), sizes)
-    full = full.select("doc_id", "_key", F.explode(windows(full)).alias("_w")).select("doc_id", "_key", "_w.n", "_w.hash", "_w.at")
-    hits = full.join(own, ["n", "hash"]).groupBy("doc_id", "_key").agg(
-        F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("_at"), F.collect_set("_items").alias("_items")
-    )
-    hits = hits.select(
-        F.col("doc_id").alias("_d"), F.col("_key").alias("_k"),
-        F.size(F.array_distinct(F.flatten("_at"))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("_items"))).alias("items"),
-    )
-    hits = bounded(common.cut(hits))
+
+    # pass 2: these prints, where they stand in the documents, are extended to whole windows, and those that an item has are hits
+    chosen = rows.join(bounded(named.select("_d", "_k").distinct()), same, "left_semi").dropDuplicates(["doc_id", "_key"])
+    full = least(with_grams(chosen.withColumn("_g1", hashes("text")).drop("text"), sizes), gram, window)
+    full = full.select("doc_id", "_key", F.explode(all_of).alias("_w")).select("doc_id", "_key", "_w.*")
+    full = full.join(bounded(named), same & (F.col("n") == F.col("_n")) & (F.col("print") == F.col("_p")), "left_semi")
+    found = common.cut(full.join(own, ["n", "hash"]).select("doc_id", "_key", "n", "at", "set"))
+    words = found.select("doc_id", "_key", "n", "at").groupBy("doc_id", "_key").agg(F.collect_set(F.struct("n", "at")).alias("_at"))
+    words = words.select("doc_id", "_key", F.size(F.array_distinct(F.flatten(F.transform("_at", lambda w: F.sequence(w["at"], w["at"] + w["n"] - 1))))).cast("long").alias("n_hit"))
+    ids = found.select("doc_id", "_key", "set").distinct().join(members, "set").groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    ids = ids.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "items")
+    hits = words.join(ids, same).select("_d", "_k", "n_hit", "items")
+    hits = common.cut(hits, some, found)
+    if (hits.agg(F.count("*") + F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST:  # ids count too
+        hits = F.broadcast(hits)
     out = rows.select("doc_id", "_key", F.size(hashes("text")).cast("long").alias("n_words")).join(hits, same, "left")
-    none = F.array().cast("array<string>")
     return out.select("doc_id", "_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
