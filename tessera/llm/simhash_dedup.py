@@ -5,22 +5,26 @@ included, joined by spaces (fewer words: all of them; none: fingerprint zero); a
 the shingles' XXH64 hashes (seed 42).
 
 Fingerprints link at `bits` or fewer differing bits. Each is mapped to the bit counts of its 32 two-bit segments; the
-Manhattan distance of two such vectors is at most the number of differing bits. The segments are dealt into bits + 2
-groups; a pair within the distance agrees in the counts of at least two groups, so each pair of groups makes a grid in
-whose cells all links are found. In a cell fingerprints are put in order of their total bit count, only those within
-`bits` of each other there are compared (again a lower bound), and the comparison is exact. A cell passes on a spanning
+Manhattan distance of two such vectors is at most the number of differing bits. The segments are dealt into m + bits
+groups; a pair within the distance agrees in the counts of at least m groups, so each choice of m groups makes a grid in
+whose cells all links are found. m grows with the number of distinct fingerprints (`agreeing`), so that cells stay small. In a
+cell fingerprints are put in order of their total bit count and joined by range: those within `bits` of each other by this
+count, then by the Manhattan distance, which is one XOR of counts in unary, are compared exactly. A cell passes on a spanning
 forest of its links, not the links: the components are the same. A cell of over CELL fingerprints is dealt into blocks,
 and pairs of blocks are compared in tasks of their own.
 
 Only distinct fingerprints are compared, each named by its smallest doc_id. Components come from large-star/small-star
-rounds over the forests, each round a written table. Repeated rows have one fingerprint and so one component. Rows
-without a doc_id link nothing and have no component. Null and empty texts link like any other. Extra columns are ignored.
+rounds over the forests, each round a written table. A doc_id is one node, so rows of one doc_id have one component, even
+where their texts, and so fingerprints, differ. Rows without a doc_id link nothing and have no component. Null and empty
+texts link like any other. A table without rows gives none. A long text's shingles are hashed BLOCK at a time. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -66,24 +70,38 @@ def fingerprinted(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(marks, np.uint64).view(np.int64))], ["doc_id", "mark"])
 
 
-def grids(bits: int) -> list[int]:
-    """A mask of 64 bits for each pair of groups of segments."""
-    groups = [sum(3 << (2 * s) for s in part.tolist()) for part in np.array_split(np.arange(32), bits + 2)]
-    return [a | b for a, b in combinations(groups, 2)]
+def agreeing(n: int, bits: int) -> int:
+    """How many groups to agree in: the least work for n fingerprints, were their bits random. A segment's count has
+    1.5 bits of information; a row of a grid is worth about 200 comparisons."""
+    cost = lambda m: comb(m + bits, m) * (200 + n / 2 ** (48 * m / (m + bits)) / 2)
+    return min(range(2, 7), key=cost)
+
+
+def grids(bits: int, m: int = 2) -> list[int]:
+    """A mask of 64 bits for each choice of m groups of segments."""
+    groups = [sum(3 << (2 * s) for s in part.tolist()) for part in np.array_split(np.arange(32), m + bits)]
+    return [sum(some) for some in combinations(groups, m)]
+
+
+def unary(marks: np.ndarray) -> np.ndarray:
+    """The bit counts of the segments as 00, 01 and 11, so that the Manhattan distance is the number of differing bits."""
+    odd = np.uint64(0x5555555555555555)
+    high, low = (marks >> np.uint64(1)) & odd, marks & odd
+    return ((high & low) << np.uint64(1)) | high | low
 
 
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def cells(marks: DataFrame, bits: int) -> DataFrame:
+def cells(marks: DataFrame, bits: int, m: int) -> DataFrame:
     """doc_id, mark, and a row for each grid: its number and the counts of its segments, two bits each."""
     odd = signed(0x5555555555555555)
     x = F.col("mark")
     counts = F.shiftrightunsigned(x, 1).bitwiseAND(odd).bitwiseXOR(x.bitwiseAND(odd))  # low bit of each count
     both = F.shiftrightunsigned(x, 1).bitwiseAND(x).bitwiseAND(odd)  # segments with two ones
     counts = counts.bitwiseOR(F.shiftleft(both, 1))
-    each = F.array(*[F.struct(F.lit(i).alias("grid"), counts.bitwiseAND(signed(m)).alias("cell")) for i, m in enumerate(grids(bits))])
+    each = F.array(*[F.struct(F.lit(i).alias("grid"), counts.bitwiseAND(signed(mask)).alias("cell")) for i, mask in enumerate(grids(bits, m))])
     return marks.select("doc_id", "mark", F.explode(each).alias("_g")).select("doc_id", "mark", "_g.grid", "_g.cell")
 
 
@@ -93,15 +111,14 @@ def forest(ids: np.ndarray, marks: np.ndarray, bits: int) -> tuple[np.ndarray, n
     order = np.argsort(ones, kind="stable")
     ids, marks, ones = ids[order], marks[order], ones[order].astype(np.int64)
     to = np.searchsorted(ones, ones + bits, "right")
-    n, label = len(ids), np.arange(len(ids))
+    n, label, counts = len(ids), np.arange(len(ids)), unary(marks)
     width = max(1, (1 << 22) // max(1, n))
     for i in range(0, n, width):
         j = min(n, i + width)
-        near = np.bitwise_count(marks[i:j, None] ^ marks[None, i : to[j - 1]]) <= bits
-        a, b = np.nonzero(near)
+        a, b = np.nonzero(np.bitwise_count(counts[i:j, None] ^ counts[None, i : to[j - 1]]) <= bits)
         a, b = a + i, b + i
-        up = b > a
-        a, b = label[a[up]], label[b[up]]
+        near = (b > a) & (np.bitwise_count(marks[a] ^ marks[b]) <= bits)
+        a, b = label[a[near]], label[b[near]]
         a, b = a[a != b], b[a != b]
         if len(a):
             label = joined(label, a, b)
@@ -161,7 +178,7 @@ def linked(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBa
 def links(marks: DataFrame, bits: int = BITS) -> DataFrame:
     """u, v: edges whose components are those of all links. marks: doc_id and mark, no mark twice."""
     spark = marks.sparkSession
-    placed = cells(marks, bits)
+    placed = cells(marks, bits, agreeing(marks.count(), bits))
     sizes = placed.groupBy("grid", "cell").agg(F.count("*").alias("_n")).filter(F.col("_n") > CELL)
     large = common.cut(sizes)
     if large.isEmpty():
