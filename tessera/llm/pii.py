@@ -2,12 +2,17 @@
 
 Found by one pattern: card numbers (13 to 19 digits, at once or in groups of two or more, Luhn-valid), IBANs (mod 97), US social security numbers, dates
 (2024-01-31, 31.01.2024, 01/31/2024, with or without zeros), IPv4 addresses, phone numbers (with a plus, in brackets, or in groups of 3, 3 and 4) and
-e-mail addresses. A validated number's digits go through a keyed Feistel permutation of all numbers with as many digits,
-and back into their places: check digits are computed anew; an address is permuted as 32 bits; a date as a day of
-1900-01-01 to 2099-11-12 (73,000 days; other dates are left), whatever its format. A permutation maps different values to different
-ones and equal ones to equal ones, so documents stay linked; who has the key can undo it. An address's local part, which
-isn't a number, becomes a keyed hash. Other digits are left. Null and empty texts stay as they are; rows are independent
-of each other; other columns stay, but for text. Only DataFrame functions.
+e-mail addresses. Each goes through a keyed Feistel permutation of the valid numbers of its format, and back into its
+places: cards and IBANs of all numbers with as many digits, check digits computed anew; social security numbers of the valid
+ones (area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999); a phone number after its country code, which stays, ten
+digits whose third groups may begin a North American number of those, so that a number has one pseudonym with and without +1;
+an address of 32 bits; a date of the days 1900-01-01 to 2099-11-12 (73,000; other dates are left), whatever its format. A
+permutation maps different values to different ones and equal ones to equal ones, so documents stay linked; who has the key
+can undo it. An address's local part, which isn't a number, becomes a keyed hash. Other digits are left.
+
+Null and empty texts stay as they are; rows are independent of each other, so ties and repeated rows are alike; a table without
+rows gives none. Other columns stay, but for text; where they have the names of the two counts, the counts get an underscore
+before theirs. A long text is rewritten as one row. Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ CARD = (
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?\d[A-Z0-9]{0,2})?"
 # possessive and apart from other word characters, so that a match is never part of a longer number or name
 FOUND = rf"(?<![\w.@%+-])(?:{EMAIL}|(?:{IBAN}|{IPV4}|{SSN}|{DATE}|{PHONE}|{CARD})(?![\w@]|[.-]\d))"
+# Country codes of one and two digits; all others have three.
+CODES = "[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\\d{3}"
 ROUNDS = 8
 FIRST_DAY, DAYS, HALVES = "1900-01-01", 73_000, (250, 292)
 
@@ -90,6 +97,35 @@ def iban(x: Column, key: str) -> Column:
     return F.transform(body, lambda b: F.concat(F.substring(x, 1, 2), check(b), b))[0]
 
 
+def numbers(x: Column, at: int, size: int) -> Column:
+    return F.substring(x, at, size).cast("long")
+
+
+def padded(n: Column, size: int) -> Column:
+    return F.lpad(n.cast("string"), size, "0")
+
+
+def social(own: Column, key: str) -> Column:
+    """The digits of another valid social security number."""
+    area = numbers(own, 1, 3) - 1
+    area = area - F.when(area > 665, 1).otherwise(0)
+    out = feistel(area, (numbers(own, 4, 2) - 1) * 9999 + numbers(own, 6, 4) - 1, F.lit(898), F.lit(99 * 9999), F.lit("ssn"), key)
+    first = lambda v: v["a"] + 1 + F.when(v["a"] >= 665, 1).otherwise(0)
+    return F.transform(F.array(out), lambda v: F.concat(padded(first(v), 3), padded(F.floor(v["b"] / 9999) + 1, 2), padded(F.pmod(v["b"], F.lit(9999)) + 1, 4)))[0]
+
+
+def national(own: Column, key: str) -> Column:
+    """The digits of a phone number without its country code, permuted; of North American form, to others of that form."""
+    out = feistel(numbers(own, 1, 3) - 200, numbers(own, 4, 7) - 2_000_000, F.lit(800), F.lit(8_000_000), F.lit("phone-3-7"), key)
+    ten_ = F.transform(F.array(out), lambda v: F.concat(padded(v["a"] + 200, 3), padded(v["b"] + 2_000_000, 7)))[0]
+    return F.when(own.rlike(r"^[2-9]\d{2}[2-9]\d{6}$"), ten_).otherwise(permuted(own, "phone", key))
+
+
+def phone(x: Column, own: Column, key: str) -> Column:
+    code = F.when(F.startswith(x, F.lit("+")), F.regexp_extract(own, f"^(?:{CODES})", 0)).otherwise("")
+    return placed(x, F.concat(code, national(F.substr(own, F.length(code) + 1), key)))
+
+
 def placed(shape: Column, number: Column) -> Column:
     """shape with its digits replaced, one after the other, by number's."""
     before = lambda i: F.length(digits(F.substr(shape, F.lit(1), i + 1)))
@@ -122,20 +158,23 @@ def pseudonym(x: Column, key: str) -> Column:
     is_date = x.rlike(f"^(?:{DATE})$") & day.between(0, DAYS - 1)
     is_phone = x.rlike(f"^(?:{PHONE})$") & F.length(own).between(8, 15)
     return (
-        F.when(x.contains("@"), name).when(is_iban, iban(x, key)).when(is_ip, address).when(is_ssn, placed(x, permuted(own, "ssn", key))).when(is_date, date)
-        .when(is_phone, placed(x, permuted(own, "phone", key))).when(is_card, placed(x, card)).otherwise(x)
+        F.when(x.contains("@"), name).when(is_iban, iban(x, key)).when(is_ip, address).when(is_ssn, placed(x, social(own, key))).when(is_date, date)
+        .when(is_phone, phone(x, own, key)).when(is_card, placed(x, card)).otherwise(x)
     )
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with text rewritten, and n_found (matches) and n_changed."""
-    found = F.regexp_extract_all("text", F.lit(f"({FOUND})"), F.lit(1))
-    done = docs.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda x: pseudonym(x, key)))
+    found, new, n_found, n_changed = (common.free(docs, x) for x in ("found", "new", "n_found", "n_changed"))
+    matches = F.regexp_extract_all("text", F.lit(f"({FOUND})"), F.lit(1))
+    done = docs.withColumn(found, matches).withColumn(new, F.transform(found, lambda x: pseudonym(x, key)))
     between = F.split("text", FOUND, -1)
-    text = F.concat_ws("", F.flatten(F.zip_with(between, "_new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x)).cast("long")
-    done = done.withColumn("n_found", F.coalesce(F.size("_found"), F.lit(0)).cast("long")).withColumn("n_changed", F.coalesce(changed, F.lit(0).cast("long")))
-    return done.withColumn("text", F.when(F.size("_found") > 0, text).otherwise(F.col("text"))).drop("_found", "_new")
+    text = F.concat_ws("", F.flatten(F.zip_with(between, F.col(new), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
+    changed = F.size(F.filter(F.zip_with(F.col(found), F.col(new), lambda a, b: a != b), lambda x: x)).cast("long")
+    zero = F.lit(0).cast("long")
+    counts = [F.coalesce(F.size(found).cast("long"), zero).alias(n_found), F.coalesce(changed, zero).alias(n_changed)]
+    text = F.when(F.size(found) > 0, text).otherwise(F.col("text")).alias("text")
+    return done.select(*[text if x.lower() == "text" else F.col(f"`{x}`") for x in docs.columns], *counts)
 
 
 def op1_pii(spark, sf_dir: str, key: str = "not a secret: give your own") -> DataFrame:
