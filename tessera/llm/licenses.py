@@ -6,7 +6,9 @@ rule is an ordered sequence of identifiers that must follow one another in it (o
 between them, unknown ones may). Rules are tried in order; one whose identifiers all belong to an earlier match of a longer rule is left out.
 Rights reserved make a text proprietary only if it has no licence, as the BSD texts reserve them too.
 
-Null and empty texts have no licence. Every row is judged alone. Other columns are ignored. Only DataFrame functions.
+Null and empty texts have no licence. Every row is judged alone, so ties and repeated rows are alike; a table without rows gives none.
+A long text is normalised and searched as one row, in time in proportion to its length. Other columns are ignored, whatever
+their names. Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -42,6 +44,29 @@ SENTENCES = {
     "you can redistribute it and or modify it under the terms of the gnu general public license version 3 as published by the free software foundation": "gpl-v3-only",
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 2 of the license": "gpl-v2-only",
     "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl-v2-only",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-text",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21-text",
+    "gnu library general public license version 2 june 1991": "lgpl2-text",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-text",
+    "this library is free software": "lgpl-free",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation": "lgpl-terms",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": "agpl-terms",
+    "either version 2 1 of the license or at your option any later version": "gpl-v21-later",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "bsd0-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense-text",
+    "cc0 1 0 universal": "cc0-text",
+    "creative commons zero v1 0 universal": "cc0-text",
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": "zlib-warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely": "zlib-grant",
+    "boost software license version 1 0": "bsl-text",
+    "eclipse public license v 2 0": "epl-text",
+    "eclipse public license version 2 0": "epl-text",
+    "creative commons attribution noderivatives 4 0 international": "cc-by-nd-notice",
+    "creative commons attribution noncommercial sharealike 4 0 international": "cc-by-nc-sa-notice",
+    "creative commons attribution noncommercial noderivatives 4 0 international": "cc-by-nc-nd-notice",
     "creative commons attribution 4 0 international": "cc-by-notice",
     "creative commons attribution sharealike 4 0 international": "cc-by-sa-notice",
     "creative commons attribution noncommercial 4 0 international": "cc-by-nc-notice",
@@ -67,6 +92,12 @@ RULES = [
     ("Apache-2.0", ["apache-text"]),
     ("GPL-3.0", ["gpl-apply", "gpl-free", "gpl-terms", "gpl-v3-later"]),
     ("GPL-2.0", ["gpl-apply", "gpl-free", "gpl-terms", "gpl-v2-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-free", "lgpl-terms", "gpl-v21-later"]),
+    ("LGPL-2.0-or-later", ["lgpl-free", "lgpl-terms", "gpl-v2-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-free", "lgpl-terms", "gpl-v3-later"]),
+    ("LGPL-2.1-or-later", ["gpl-free", "lgpl-terms", "gpl-v21-later"]),
+    ("LGPL-3.0-or-later", ["gpl-free", "lgpl-terms", "gpl-v3-later"]),
+    ("AGPL-3.0-or-later", ["gpl-free", "agpl-terms", "gpl-v3-later"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-terms", "gpl-v3-later"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-terms", "gpl-v2-later"]),
     ("GPL-3.0", ["gpl-free", "gpl-v3-only"]),
@@ -74,6 +105,20 @@ RULES = [
     ("GPL-3.0", ["gpl3-notice"]),
     ("GPL-3.0", ["gpl3-text"]),
     ("GPL-2.0", ["gpl2-text"]),
+    ("LGPL-3.0", ["lgpl3-text"]),
+    ("LGPL-2.1", ["lgpl21-text"]),
+    ("LGPL-2.0", ["lgpl2-text"]),
+    ("AGPL-3.0", ["agpl3-text"]),
+    ("ISC", ["isc-grant"]),
+    ("0BSD", ["bsd0-grant"]),
+    ("Unlicense", ["unlicense-text"]),
+    ("CC0-1.0", ["cc0-text"]),
+    ("Zlib", ["zlib-warranty", "zlib-grant"]),
+    ("BSL-1.0", ["bsl-text"]),
+    ("EPL-2.0", ["epl-text"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-notice"]),
+    ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-notice"]),
+    ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-notice"]),
     ("BSD-4-Clause", ["bsd-grant", "bsd-ads", "bsd-name"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-name"]),
     ("BSD-2-Clause", ["bsd-grant"]),
@@ -85,7 +130,7 @@ RULES = [
     ("proprietary", ["reserved"]),
 ]
 # every known sentence has one of these
-SOME = r"(?i)licen[sc]e|permi|redistrib|software|rights|version|commons|programs"
+SOME = r"(?i)licen[sc]e|permi|redistrib|software|rights|version|commons|programs|cc0"
 
 
 def identifiers(text: str) -> Column:

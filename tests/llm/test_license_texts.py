@@ -57,3 +57,50 @@ def test_texts_are_found_however_they_are_wrapped(spark):
 def test_known_sentences_pass_the_first_filter():
     assert all(re.search(licenses.SOME, s) and re.fullmatch("[a-z0-9 ]+", s) for s in licenses.SENTENCES)
     assert {x for _, ids in licenses.RULES for x in ids} == set(licenses.SENTENCES.values())
+
+
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+AGPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MORE = [
+    (LGPL, "LGPL-2.1-or-later"), (AGPL, "AGPL-3.0-or-later"), (ISC, "ISC"), (ISC.split(", provided")[0] + ".", "0BSD"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"), ("CC0 1.0 Universal", "CC0-1.0"),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007", "AGPL-3.0"), ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "LGPL-3.0"),
+    ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International", "CC-BY-NC-ND-4.0"), ("Creative Commons Attribution 4.0 International", "CC-BY-4.0"),
+    (None, ""), ("", ""), ("the library is nice", ""),
+]
+
+
+def sequences(text):
+    """The scan by plain Python: known sentences in order, then rules on what is left of their chain."""
+    plain = " " + re.sub("[^a-z0-9]+", " ", (text or "").lower()).strip() + " "
+    found, at = [], 0
+    while at < len(plain):
+        here = max((s for s in licenses.SENTENCES if plain.startswith(f" {s} ", at)), key=len, default=None)
+        if here:
+            found.append(licenses.SENTENCES[here])
+        at = plain.index(" ", at + 1 + len(here or "")) if plain.find(" ", at + 1 + len(here or "")) >= 0 else len(plain)
+    chain, names = ">" + ">".join(found) + ">", []
+    for name, ids in licenses.RULES:
+        if (part := ">" + ">".join(ids) + ">") in chain:
+            names.append(name)
+            chain = chain.replace(part, ">>")
+    names = list(dict.fromkeys(names))
+    names = [n for n in names if n != "proprietary"] if len(names) > 1 else names
+    return ",".join(found), ",".join(names), len(found)
+
+
+def test_more_licences_and_brute_force(spark):
+    texts = [t for t, _ in MORE] + [MIT, BSD2, f"{LGPL} {ISC} all rights reserved", f"# {AGPL}\n# {MIT}"]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 2, "doc_id long, text string, licenses string")
+    got = licenses.scan(rows).collect()
+    assert len(got) == 2 * len(texts) and licenses.scan(rows.limit(0)).count() == 0
+    for r in got:
+        assert (r.sentence_ids, r.licenses, r.n_sentences) == sequences(texts[r.doc_id]), texts[r.doc_id]
+    for i, (_, name) in enumerate(MORE):
+        assert {r.licenses for r in got if r.doc_id == i} == {name}
