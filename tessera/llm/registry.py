@@ -16,5 +16,7 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op3_decontamination": oracles.OP3, "op5_substring_dedup": oracles.OP5}
+ORACLES: dict[str, str] = {
+    "op3_decontamination": oracles.OP3, "op5_substring_dedup": oracles.OP5, "op6_suffix_array_dedup": oracles.OP6, "op10_quality_rules": oracles.OP10,
+}
 ORACLES |= {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
