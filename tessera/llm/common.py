@@ -60,9 +60,21 @@ def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, parts: int, name: str) -> DataFrame:
+    """df, which is dealt out by key into `parts` partitions, from a table in the shared folder in as many buckets, so that
+    joins by the key don't shuffle it again. The table is known to the session's catalog."""
+    spark, path, table = df.sparkSession, new_path(df.sparkSession, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(parts, key).sortBy(key).saveAsTable(table)
+    out = spark.table(table)
+    out.cut_path, out.cut_name = path, table
+    return out
+
+
 def drop(*spent: DataFrame) -> None:
-    """Deletes the tables of what cut has returned."""
+    """Deletes the tables of what cut and bucketed have returned."""
     for df in spent:
+        if hasattr(df, "cut_name"):
+            df.sparkSession.sql(f"DROP TABLE {df.cut_name}")
         delete(df.sparkSession, df.cut_path)
 
 

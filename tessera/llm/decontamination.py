@@ -79,16 +79,23 @@ def entries(n: int, window: int) -> Column:
     return each if n < window else F.zip_with(each, "_least", lambda w, p: F.struct(w["n"].alias("n"), w["hash"].alias("hash"), w["at"].alias("at"), p.alias("print")))
 
 
-def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, shortest: int = 1) -> DataFrame:
-    """doc_id, _key (hash of the text), n_words, n_hit and items (ids, in order of their strings) of each row of docs. Items of fewer than `shortest` words are left out."""
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("_key"), "text")
+
+
+def same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+
+
+def hits(rows: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, shortest: int = 1) -> DataFrame | None:
+    """_d (doc_id), _k (hash of the text), n_hit and items (ids, in order of their strings) of those of rows (`keyed`) that have
+    any, once each, a written table. Items of fewer than `shortest` words are left out; None if no item is left."""
     known = items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), hashes("text").alias("_g1")).filter(F.size("_g1") >= shortest)
     known = common.cut(known.withColumn("_n", F.least(F.size("_g1"), F.lit(window))))
     lengths = sorted(r[0] for r in known.select("_n").distinct().collect())  # at most `window`
     sizes = lengths + [gram]
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_key"), "text")
-    none = F.array().cast("array<string>")
     if not lengths:
-        return rows.select("doc_id", "_key", F.size(hashes("text")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
+        return None
 
     # an item's windows have its own length: `window`, or all of a shorter item
     all_of = F.concat(*[entries(n, window) for n in lengths])
@@ -110,31 +117,42 @@ def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int =
     each = marked.select("doc_id", "_key", F.explode(F.concat(*prints)).alias("_p")).select("doc_id", "_key", "_p.n", "_p.print")
     some = common.cut(each.join(anchors, ["n", "print"], "left_semi").distinct())
     named = some.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), F.col("n").alias("_n"), F.col("print").alias("_p"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
 
     # pass 2: these prints, where they stand in the documents, are extended to whole windows, and those that an item has are hits
-    chosen = rows.join(bounded(named.select("_d", "_k").distinct()), same, "left_semi").dropDuplicates(["doc_id", "_key"])
+    chosen = rows.join(bounded(named.select("_d", "_k").distinct()), same(), "left_semi").dropDuplicates(["doc_id", "_key"])
     full = least(with_grams(chosen.withColumn("_g1", hashes("text")).drop("text"), sizes), gram, window)
     full = full.select("doc_id", "_key", F.explode(all_of).alias("_w")).select("doc_id", "_key", "_w.*")
-    full = full.join(bounded(named), same & (F.col("n") == F.col("_n")) & (F.col("print") == F.col("_p")), "left_semi")
+    full = full.join(bounded(named), same() & (F.col("n") == F.col("_n")) & (F.col("print") == F.col("_p")), "left_semi")
     found = common.cut(full.join(own, ["n", "hash"]).select("doc_id", "_key", "n", "at", "set"))
     words = found.select("doc_id", "_key", "n", "at").groupBy("doc_id", "_key").agg(F.collect_set(F.struct("n", "at")).alias("_at"))
     words = words.select("doc_id", "_key", F.size(F.array_distinct(F.flatten(F.transform("_at", lambda w: F.sequence(w["at"], w["at"] + w["n"] - 1))))).cast("long").alias("n_hit"))
     ids = found.select("doc_id", "_key", "set").distinct().join(members, "set").groupBy("doc_id", "_key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     ids = ids.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"), "items")
-    hits = words.join(ids, same).select("_d", "_k", "n_hit", "items")
-    hits = common.cut(hits, some, found)
-    if (hits.agg(F.count("*") + F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST:  # ids count too
-        hits = F.broadcast(hits)
-    out = rows.select("doc_id", "_key", F.size(hashes("text")).cast("long").alias("n_words")).join(hits, same, "left")
-    return out.select("doc_id", "_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+    return common.cut(words.join(ids, same()).select("_d", "_k", "n_hit", "items"), some, found)
+
+
+def matched(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, shortest: int = 1) -> DataFrame:
+    """doc_id, n_words, n_hit and items of each row of docs, as `hits` has them."""
+    rows, none, zero = keyed(docs), F.array().cast("array<string>"), F.lit(0).cast("long")
+    found = hits(rows, items, window, gram, shortest)
+    out = rows.select("doc_id", "_key", F.size(hashes("text")).cast("long").alias("n_words"))
+    if found is None:
+        return out.select("doc_id", "n_words", zero.alias("n_hit"), none.alias("items"))
+    if (found.agg(F.count("*") + F.sum(F.size("items"))).first()[0] or 0) <= BROADCAST:  # ids count too
+        found = F.broadcast(found)
+    out = out.join(found, same(), "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, least_items: int, shortest: int = 1) -> DataFrame:
     """Rows of docs, with or without an id, that hold windows of fewer than least_items items."""
-    found = matched(docs, items, shortest=shortest).filter(F.size("items") >= least_items)
-    found = found.select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k")), "left_anti")
+    found = hits(keyed(docs), items, shortest=shortest)
+    if found is None:
+        return docs
+    found = bounded(common.cut(found.filter(F.size("items") >= least_items).select("_d", "_k"), found))
+    theirs, hashed = common.free(docs, "theirs"), common.free(docs, "hashed")
+    found = found.withColumnRenamed("_d", theirs).withColumnRenamed("_k", hashed)
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(theirs)) & (F.xxhash64("text") == F.col(hashed)), "left_anti")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, least_items: int = LEAST_ITEMS, shortest: int = 1) -> DataFrame:

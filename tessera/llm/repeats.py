@@ -20,8 +20,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -376,11 +374,8 @@ def identities(windows: np.ndarray, key: np.ndarray) -> np.ndarray:
 def numbered(docs: DataFrame, parts: int) -> DataFrame:
     """row, doc_id and text: docs with a number a row, as a table in buckets of these numbers, so that joins by row don't
     shuffle texts again."""
-    spark, name = docs.sparkSession, f"rows_{uuid.uuid4().hex}"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(parts, "row")
-    writer = rows.write.option("compression", "zstd").option("path", common.new_path(spark, "rows")).bucketBy(parts, "row").sortBy("row")
-    writer.format("parquet").saveAsTable(name)
-    return spark.table(name)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return common.bucketed(rows.repartition(parts, "row"), "row", parts, "rows")
 
 
 def find(rows: DataFrame, plan: Plan, kernel: Kernel) -> DataFrame:
