@@ -19,7 +19,8 @@ def ordinary(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies (5-word Jaccard of 0.8 or more), once; rows without an id stay. Of equal
+    """The smallest doc_id of each group of near copies (5-word Jaccard of 0.8 or more), once: operator 4 with 5-word shingles, checked
+    by the sets, then, in blocks, what its fingerprints can't link (near_copies). Rows without an id stay. Of equal
     ids with different texts the smaller hash of the text stands for the group; of equal rows any, as only columns but these differ."""
     key = common.free(docs, "key")
     named = docs.filter("doc_id IS NOT NULL").withColumn(key, F.xxhash64("text"))

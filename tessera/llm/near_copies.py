@@ -1,11 +1,16 @@
-"""Near copies for the pipeline: operator 4's fingerprints over sets of 5-word shingles, links of a Jaccard similarity of 0.8 or more.
+"""Near copies for the pipeline: links of a Jaccard similarity of 0.8 or more between sets of 5-word shingles.
 
-Fingerprints of 64 bits alone can't give this (see the README for their recall), so they are compared in blocks that miss
-no link: a set's tokens are put in one order that holds for all texts, and two sets of similarity 4/5 share a token among the first
-a - ceil(4a/5) + 1 of each. In a block, texts of fitting sizes and places are compared by operator 4's steps: the bit
-counts of 16 four-bit segments, whose Manhattan distance is a lower bound, then the fingerprints' differing bits, at most
-BITS, then the sets themselves. Any order is right; tokens that are frequent in a sample come last, so that boilerplate
-makes no large blocks. A pair that has also met on the token before is passed on there only.
+Operator 4 comes first, all of it: fingerprints of 5-word shingles, their 32 segments' bit counts, grids, the range join and
+the Manhattan distance in cells, then the exact comparison (simhash_dedup.fingerprinted, links). What it brings together is
+checked by the sets and joined into components.
+
+Fingerprints of 64 bits can't link all that is similar at 0.8 (see the README for their recall). The rest, the texts that are in
+different components after that, is found in blocks that miss no link: a set's tokens are put in one order that holds for all
+texts, and two sets of similarity 4/5 share a token among the first a - ceil(4a/5) + 1 of each. In a block, texts of
+different components and fitting sizes and places are compared by marks, which are made of a set's tokens as a fingerprint is
+of a text's shingles: the bit counts of 16 four-bit segments, whose Manhattan distance is a lower bound, then the differing
+bits, at most BITS, then the sets themselves. Any order is right; tokens that are frequent in a sample come last, so that
+boilerplate makes no large blocks. A pair that has also met on the token before is passed on there only.
 
 A block passes on no more than two pairs a text: that with the smallest key and that with the nearest fingerprint, which
 are verified and joined into components. A second pass over the rows that had any pair finds the pairs of different
@@ -21,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,18 +81,20 @@ def tokens_of(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
 
 
 def marks(tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """Operator 4's fingerprint of each set: a bit is 1 if it is set in over half of the tokens. No set is empty."""
+    """A fingerprint of each set: a bit is 1 if it is set in over half of the tokens. No set is empty."""
     bits = np.unpackbits(np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, before[:-1], axis=0, dtype=np.int32)
     return np.packbits(2 * ones > np.diff(before)[:, None], axis=1, bitorder="little").view("<i8").ravel()
 
 
 def prefixes(batches: Iterator[pa.RecordBatch], shingle: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """token, size (tokens of the text), key, at (the token's place), prev (the token before it) and mark of texts' first tokens."""
+    """token, size (tokens of the text), key, at (the token's place), prev (the token before it), mark and component of the first
+    tokens of texts: key, text and component (null: the key)."""
     for b in batches:
         data, offsets = common.bytes_of(b.column(1))
         for i, j in common.chunks(offsets):
             keys = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
+            own = pc.coalesce(b.column(2), b.column(0)).slice(i, j - i).to_numpy(zero_copy_only=False)
             tokens, before = sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
             mark, size = marks(tokens, before), np.diff(before)
             text = np.repeat(np.arange(len(size)), size)
@@ -94,7 +102,7 @@ def prefixes(batches: Iterator[pa.RecordBatch], shingle: int, frequent: np.ndarr
             tokens, at = tokens[order], rolling.ranges(size)
             prev = np.append(0, tokens[:-1])
             keep = at < (size + (-OVER * size // UNDER) + 1)[text]
-            columns = tokens[keep] & LOW48, size[text][keep], keys[text][keep], at[keep], prev[keep] & LOW48, mark[text][keep], keys[text][keep]
+            columns = tokens[keep] & LOW48, size[text][keep], keys[text][keep], at[keep], prev[keep] & LOW48, mark[text][keep], own[text][keep]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ROW)
 
 
@@ -268,15 +276,22 @@ def similar(found: DataFrame, texts: DataFrame) -> DataFrame:
     return both.filter((OVER + UNDER) * shared >= OVER * (F.size("_u") + F.size("_v"))).select("u", "v")
 
 
+def by_fingerprint(docs: DataFrame, shingle: int) -> DataFrame:
+    """u and v: keys that operator 4 brings together. Of texts with one fingerprint that of the smallest key stands for all."""
+    prints = common.cut(docs.mapInArrow(lambda it: simhash_dedup.fingerprinted(it, shingle), "doc_id long, mark long"))
+    marks = common.cut(prints.groupBy("mark").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "mark"))
+    equal = prints.join(marks.select("mark", F.col("doc_id").alias("u")), "mark").filter("doc_id <> u").select("u", F.col("doc_id").alias("v"))
+    found = simhash_dedup.links(marks).unionByName(equal)
+    return common.cut(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), prints, marks)
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """key and component (a key) of the texts that have near copies, but for those whose key is the component. docs: key and
     text, no key twice."""
     spark = docs.sparkSession
     common.arrow_limits(spark)
     docs = docs.select("key", "text")
-    frequent = frequent_tokens(docs, shingle)
     ddl = ", ".join(f"{x} long" for x in ROW)
-    rows = docs.mapInArrow(lambda it: prefixes(it, shingle, frequent), ddl)
 
     def dealt(rows: DataFrame, *by: str) -> DataFrame:
         return rows.repartition(common.partitions(spark), *by).sortWithinPartitions(*by, "size", "key")
@@ -286,11 +301,20 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         texts = common.cut(docs.join(keys, "key", "left_semi").mapInArrow(lambda it: tokens_of(it, shingle), "key long, tokens array<long>"))
         return common.cut(similar(found, texts), texts, found)
 
+    def together(links: DataFrame) -> DataFrame:
+        return common.cut(simhash_dedup.components(links).select(F.col("doc_id").alias("u"), F.col("component").alias("v")), links)
+
+    of = together(verified(by_fingerprint(docs, shingle)))
+    frequent = frequent_tokens(docs, shingle)
+    known = docs.join(of.select(F.col("u").alias("key"), F.col("v").alias("component")), "key", "left")
+    rows = known.select("key", "text", "component").mapInArrow(lambda it: prefixes(it, shingle, frequent), ddl)
     first = common.cut(dealt(rows, "token").mapInArrow(pairs, f"u long, v long, {ddl}"))
     stars = verified(common.cut(first.filter("u IS NOT NULL").select("u", "v").distinct()))
-    of = common.cut(simhash_dedup.components(stars).select(F.col("doc_id").alias("key"), F.col("component").alias("_now")))
-    rest = first.filter("u IS NULL").drop("u", "v").join(of, "key", "left").withColumn("component", F.coalesce("_now", "component"))
-    rest = common.cut(dealt(rest.select(*ROW), "token").mapInArrow(still_open, f"u long, v long, {ddl}"), first, of)
+    stars = common.cut(stars.unionByName(of), stars, of)
+    of = together(stars)
+    now = of.select(F.col("u").alias("key"), F.col("v").alias("_now"))
+    rest = first.filter("u IS NULL").drop("u", "v").join(now, "key", "left").withColumn("component", F.coalesce("_now", "key"))
+    rest = common.cut(dealt(rest.select(*ROW), "token").mapInArrow(still_open, f"u long, v long, {ddl}"), first)
     more = verified(common.cut(rest.filter("u IS NOT NULL").select("u", "v").distinct()))
     dense = rest.filter("u IS NULL").drop("u", "v")
     large = dense.groupBy("token").agg(F.ceil(F.count("*") / GROUP).alias("_k")).filter("_k > 1").select(F.col("token").alias("_t"), "_k")
@@ -303,8 +327,11 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     filled = parted.join(docs, "key").select(*ROW, "part", "text").mapInArrow(lambda it: with_sets(it, shingle), f"{ddl}, part long, tokens array<long>")
     filled = filled.select("token", "part", *ROW[1:], "tokens")
     whole = common.cut(dealt(filled, "token", "part").mapInArrow(linked, "u long, v long"), rest)
-    out = common.cut(simhash_dedup.components(stars.unionByName(more).unionByName(whole)), stars, more, whole)
-    return out.select(F.col("doc_id").alias("key"), "component")
+    if not (more.isEmpty() and whole.isEmpty()):
+        out = common.cut(simhash_dedup.components(of.unionByName(more).unionByName(whole)), of)
+        of = out.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
+    common.drop(more, whole)
+    return of.select(F.col("u").alias("key"), F.col("v").alias("component"))
 
 
 def chosen(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
