@@ -40,7 +40,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each row as the mix takes. Rows are numbered, and the numbers written, as ids may be null or repeated."""
     row, n = common.free(docs, "row"), common.free(docs, "copies")
     rows = common.cut(docs.withColumn(row, F.monotonically_increasing_id()))
-    copies = source_mixing.mix(rows, keep=(row,)).filter("copies > 0").select(row, F.col("copies").cast("int").alias(n))
+    copies = common.cut(source_mixing.mix(rows, keep=(row,)).filter("copies > 0").select(row, F.col("copies").cast("int").alias(n)))
+    common.tidy(spark)
     taken = rows.join(copies, row).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n))))
     return taken.select(*docs.columns)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -83,6 +84,13 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects the driver's garbage. A stage of many queries leaves plans and their texts there, and a heap that has grown for these
+    doesn't shrink before a full collection."""
+    gc.collect()  # what Python holds of the JVM's objects
+    spark._jvm.System.gc()
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Batches to Python of bounded bytes, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

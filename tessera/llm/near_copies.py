@@ -305,6 +305,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         return common.cut(simhash_dedup.components(links).select(F.col("doc_id").alias("u"), F.col("component").alias("v")), links)
 
     of = together(verified(by_fingerprint(docs, shingle)))
+    common.tidy(spark)
     frequent = frequent_tokens(docs, shingle)
     known = docs.join(of.select(F.col("u").alias("key"), F.col("v").alias("component")), "key", "left")
     rows = known.select("key", "text", "component").mapInArrow(lambda it: prefixes(it, shingle, frequent), ddl)
@@ -312,6 +313,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     stars = verified(common.cut(first.filter("u IS NOT NULL").select("u", "v").distinct()))
     stars = common.cut(stars.unionByName(of), stars, of)
     of = together(stars)
+    common.tidy(spark)
     now = of.select(F.col("u").alias("key"), F.col("v").alias("_now"))
     rest = first.filter("u IS NULL").drop("u", "v").join(now, "key", "left").withColumn("component", F.coalesce("_now", "key"))
     rest = common.cut(dealt(rest.select(*ROW), "token").mapInArrow(still_open, f"u long, v long, {ddl}"), first)
@@ -327,6 +329,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     filled = parted.join(docs, "key").select(*ROW, "part", "text").mapInArrow(lambda it: with_sets(it, shingle), f"{ddl}, part long, tokens array<long>")
     filled = filled.select("token", "part", *ROW[1:], "tokens")
     whole = common.cut(dealt(filled, "token", "part").mapInArrow(linked, "u long, v long"), rest)
+    common.tidy(spark)
     if not (more.isEmpty() and whole.isEmpty()):
         out = common.cut(simhash_dedup.components(of.unionByName(more).unionByName(whole)), of)
         of = out.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))

@@ -107,6 +107,7 @@ def blocks_of(sizes: DataFrame, goals: DataFrame, most: float) -> DataFrame:
     rows = common.cut(rows.select("source", "size", "range", "tier", "n", tilted(F.col("dual"), F.col("size"), F.col("mean"), most).alias("rate")), by_size)
     carry, done, out = None, [], None
     for tier in range(len(TIERS)):
+        common.tidy(sizes.sparkSession)
         part = rows.filter(F.col("tier") == tier)
         wanted = part.groupBy("source").agg(F.sum(F.col("n") * F.col("size") * F.col("rate")).alias("wanted"))
         if carry is None:
@@ -147,6 +148,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     sizes = common.cut(sizes)
     goals = common.cut(targets(sizes.groupBy("source", "size").agg(F.sum("n").alias("n")), weights, share, most))
     blocks = blocks_of(sizes, goals, most)
+    common.tidy(docs.sparkSession)
     places = blocks.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("range").alias("_v"), "rate", "before")
     same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_range") == F.col("_v"))
     out = rows.join(places, same, "left").drop("_s", "_z", "_v")
