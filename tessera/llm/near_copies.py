@@ -14,9 +14,11 @@ boilerplate makes no large blocks. A pair that has also met on the token before
 
 A block passes on no more than two pairs a text: that with the smallest key and that with the nearest fingerprint, which
 are verified and joined into components. A second pass over the rows that had any pair finds the pairs of different
-components: those of blocks that have at most FEW a row are verified, too; of others the rows get their sets, and a third
-pass compares them block by block and passes on a spanning forest of the links. So no step has a row for each pair of a large
-block. Blocks of over GROUP of these rows are dealt out in pairs of parts. Words are runs of anything but space and 09 to 0D, A-Z lower-cased. Texts of fewer words than a shingle are one shingle;
+components: those of blocks that have at most FEW a row are verified, too; other blocks, the dense ones, pass on spanning
+forests of their pairs, whose components are families: texts that may be similar, directly or by others. Each text of a family
+gets its set once, however many dense blocks it is in, and a third pass compares a family's texts by their sets and passes on
+a spanning forest of the links. So no step has a row for each pair of a large block. Families of over GROUP texts are
+dealt out in pairs of parts; those of over PARTS such parts are compared block by block. Words are runs of anything but space and 09 to 0D, A-Z lower-cased. Texts of fewer words than a shingle are one shingle;
 texts without words (null, empty, white space) have the same one. Texts are known by a 64-bit hash, so equal ones are one; tokens by another.
 """
 
@@ -43,8 +45,8 @@ BITS, STEADY = 20, 32
 HELD, TOKENS = 1 << 18, 1 << 22
 #: Pairs a row that a block passes on; a block with more is compared as a whole.
 FEW = 2
-#: Rows of a block whose sets are compared in one task.
-GROUP = 4096
+#: Texts of a family (rows of a block) whose sets are compared in one task, and how many parts of so many a family has at most.
+GROUP, PARTS = 4096, 16
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 ROW = ["token", "size", "key", "at", "prev", "mark", "component"]
@@ -194,7 +196,8 @@ def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of blocks with at most FEW pairs a row, these as u and v, u < v; of the others the rows that have any."""
+    """Of blocks with at most FEW pairs a row, these as u and v, u < v; of the others the rows that have any, and the edges u
+and v of a spanning forest of the pairs, with the block's token."""
     for rows in groups(batches, 1, lambda held: sum(b.num_rows for b in held) >= HELD):
         rows = columns(rows, ROW)
         key, block = rows[2], np.cumsum(np.append(False, rows[0][1:] != rows[0][:-1]))
@@ -213,8 +216,19 @@ def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(len(own[0]), pa.int64())] * len(ROW)], PAIR + ROW)
         some &= (n > most)[block]
         if some.any():
-            own = [pa.array(x[some]) for x in rows]
+            dense = [x[some] for x in rows]
+            own = [pa.array(x) for x in dense]
             yield pa.RecordBatch.from_arrays([*[pa.nulls(len(own[0]), pa.int64())] * 2, *own], PAIR + ROW)
+            label, key = np.arange(len(own[0])), dense[2]
+            for a, b, _ in close(*dense):
+                a, b = label[a], label[b]
+                apart = a != b
+                if apart.any():
+                    label = simhash_dedup.joined(label, a[apart], b[apart])
+            tied = np.flatnonzero(label != np.arange(len(label)))
+            u, v = key[tied], key[label[tied]]
+            edges = [pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(dense[0][tied])]
+            yield pa.RecordBatch.from_arrays([*edges, *[pa.nulls(len(tied), pa.int64())] * (len(ROW) - 1)], PAIR + ROW)
 
 
 def with_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -228,7 +242,8 @@ def with_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Re
 
 
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u and v, links whose components are those of all similar pairs of a block, from rows with sets in order of token, part and size."""
+    """u and v, links whose components are those of all similar pairs of a family or block, from rows with sets in order of token,
+part and size."""
     size_of = lambda held: sum(len(b.column(b.schema.get_field_index("tokens")).flatten()) for b in held)
     for rows in groups(batches, 2, lambda held: size_of(held) >= TOKENS):
         own = columns(rows, ROW)
@@ -261,6 +276,32 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], PAIR)
 
 
+def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u and its component v (the smallest key) of every key of the links u and v that isn't its component."""
+    held = [np.stack([b.column(k).to_numpy() for k in (0, 1)]) for b in batches]
+    if not sum(x.shape[1] for x in held):
+        return
+    links = np.concatenate(held, axis=1)
+    key, at = np.unique(links, return_inverse=True)
+    a, b = at.reshape(links.shape)
+    apart = a != b
+    label = simhash_dedup.joined(np.arange(len(key)), a[apart], b[apart])
+    tied = np.flatnonzero(label != np.arange(len(key)))
+    for i in range(0, len(tied), HELD):
+        own = tied[i : i + HELD]
+        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(key[label[own]])], PAIR)
+
+
+def together(links: DataFrame, *spent: DataFrame) -> DataFrame:
+    """u and its component v (the smallest key) of the keys of links, which cut has returned, but for those that are their component. At
+    most FEW links are joined in one task, which spares the driver the queries of operator 4's rounds; more go through these."""
+    if links.count() <= common.FEW:
+        found = links.coalesce(1).mapInArrow(ends, "u long, v long")
+    else:
+        found = simhash_dedup.components(links).select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
+    return common.cut(found, links, *spent)
+
+
 def frequent_tokens(docs: DataFrame, shingle: int) -> np.ndarray:
     share = max(1, docs.count() // SAMPLE)
     some = docs.filter(F.pmod("key", F.lit(share)) == 0).mapInArrow(lambda it: tokens_of(it, shingle), "key long, tokens array<long>")
@@ -301,8 +342,9 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         texts = common.cut(docs.join(keys, "key", "left_semi").mapInArrow(lambda it: tokens_of(it, shingle), "key long, tokens array<long>"))
         return common.cut(similar(found, texts), texts, found)
 
-    def together(links: DataFrame) -> DataFrame:
-        return common.cut(simhash_dedup.components(links).select(F.col("doc_id").alias("u"), F.col("component").alias("v")), links)
+    def few(df: DataFrame) -> DataFrame:
+        df = common.cut(df)
+        return F.broadcast(df) if df.count() <= common.FEW else df
 
     of = together(verified(by_fingerprint(docs, shingle)))
     common.tidy(spark)
@@ -310,30 +352,34 @@ def components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     known = docs.join(of.select(F.col("u").alias("key"), F.col("v").alias("component")), "key", "left")
     rows = known.select("key", "text", "component").mapInArrow(lambda it: prefixes(it, shingle, frequent), ddl)
     first = common.cut(dealt(rows, "token").mapInArrow(pairs, f"u long, v long, {ddl}"))
+    common.tidy(spark)  # files of the shuffle, too
     stars = verified(common.cut(first.filter("u IS NOT NULL").select("u", "v").distinct()))
-    stars = common.cut(stars.unionByName(of), stars, of)
-    of = together(stars)
+    of = together(common.cut(stars.unionByName(of), stars, of))
     common.tidy(spark)
     now = of.select(F.col("u").alias("key"), F.col("v").alias("_now"))
     rest = first.filter("u IS NULL").drop("u", "v").join(now, "key", "left").withColumn("component", F.coalesce("_now", "key"))
     rest = common.cut(dealt(rest.select(*ROW), "token").mapInArrow(still_open, f"u long, v long, {ddl}"), first)
-    more = verified(common.cut(rest.filter("u IS NOT NULL").select("u", "v").distinct()))
-    dense = rest.filter("u IS NULL").drop("u", "v")
-    large = dense.groupBy("token").agg(F.ceil(F.count("*") / GROUP).alias("_k")).filter("_k > 1").select(F.col("token").alias("_t"), "_k")
-    large = common.cut(large)
-    large = F.broadcast(large) if large.count() <= common.FEW else large
+    more = verified(common.cut(rest.filter("u IS NOT NULL AND token IS NULL").select("u", "v").distinct()))
+    common.tidy(spark)
+    family = together(common.cut(rest.filter("u IS NOT NULL AND token IS NOT NULL").select("u", "v").distinct()))
+    dense = rest.filter("u IS NULL").drop("u", "v").join(family.select(F.col("u").alias("key"), F.col("v").alias("_f")), "key", "left")
+    dense = dense.withColumn("_f", F.coalesce("_f", "key"))
+    # a row for each text of a family, for each dense block of it where the family is too large
+    texts = dense.groupBy("_f", "key").agg(*[F.first(x).alias(x) for x in ("size", "mark", "component")])
+    wide = few(texts.groupBy("_f").count().filter(F.col("count") > GROUP * PARTS).select("_f"))
+    zero = F.lit(0).cast("long")
+    each = texts.join(wide, "_f", "left_anti").select(F.col("_f").alias("token"), "size", "key", zero.alias("at"), zero.alias("prev"), "mark", "component")
+    each = common.cut(each.unionByName(dense.join(wide, "_f", "left_semi").select(*ROW)))
+    large = few(each.groupBy("token").agg(F.ceil(F.count("*") / GROUP).alias("_k")).filter("_k > 1").select(F.col("token").alias("_t"), "_k"))
     # part b of k meets every part: a row for each pair of parts that has b
     k, b = F.coalesce("_k", F.lit(1)).cast("long"), F.pmod(F.xxhash64("key"), F.coalesce("_k", F.lit(1)))
     pair = F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.least(b, j) * k + F.greatest(b, j))
-    parted = dense.join(large, F.col("token") == F.col("_t"), "left").withColumn("part", F.explode(pair)).select(*ROW, "part")
+    parted = each.join(large, F.col("token") == F.col("_t"), "left").withColumn("part", F.explode(pair)).select(*ROW, "part")
     filled = parted.join(docs, "key").select(*ROW, "part", "text").mapInArrow(lambda it: with_sets(it, shingle), f"{ddl}, part long, tokens array<long>")
     filled = filled.select("token", "part", *ROW[1:], "tokens")
-    whole = common.cut(dealt(filled, "token", "part").mapInArrow(linked, "u long, v long"), rest)
+    whole = common.cut(dealt(filled, "token", "part").mapInArrow(linked, "u long, v long"), rest, family, each)
     common.tidy(spark)
-    if not (more.isEmpty() and whole.isEmpty()):
-        out = common.cut(simhash_dedup.components(of.unionByName(more).unionByName(whole)), of)
-        of = out.select(F.col("doc_id").alias("u"), F.col("component").alias("v"))
-    common.drop(more, whole)
+    of = together(common.cut(of.unionByName(more).unionByName(whole)), of, more, whole)
     return of.select(F.col("u").alias("key"), F.col("v").alias("component"))
 
 
