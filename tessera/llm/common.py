@@ -18,6 +18,10 @@ BATCH_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 19
 #: Rows of some numbers and a name that may be broadcast.
 FEW = 100_000
+#: The driver's heap in use, as a share, from which tables are written after a collection, and how much came since the last one.
+FULL, SINCE = 0.5, 0.15
+
+_left = 0
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +58,8 @@ def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
     """df from a table in the shared folder: later stages don't run it again, and no executor's loss removes it. Tables of
     `spent`, which cut has returned before and nothing needs any more, are deleted."""
     path = new_path(df.sparkSession, "table")
+    if crowded(df.sparkSession):
+        tidy(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
@@ -87,8 +93,22 @@ def delete(spark: SparkSession, path: str) -> None:
 def tidy(spark: SparkSession) -> None:
     """Collects the driver's garbage. A stage of many queries leaves plans and their texts there, and a heap that has grown for these
     doesn't shrink before a full collection."""
+    global _left
     gc.collect()  # what Python holds of the JVM's objects
     spark._jvm.System.gc()
+    _left = heap(spark)
+
+
+def heap(spark: SparkSession) -> float:
+    """The driver's heap in use, as a share of what it may have."""
+    jvm = spark._jvm.java.lang.Runtime.getRuntime()
+    return (jvm.totalMemory() - jvm.freeMemory()) / jvm.maxMemory()
+
+
+def crowded(spark: SparkSession) -> bool:
+    """Whether the driver's heap has filled since it was last tidied, so that it would grow."""
+    now = heap(spark)
+    return now > FULL and now - _left > SINCE
 
 
 def arrow_limits(spark: SparkSession) -> None:
