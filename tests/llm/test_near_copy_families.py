@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,13 @@ def test_families_over_a_group_lose_no_link(spark, monkeypatch, parts, few):
         before, least = least, [min(least[j] for j in x) for x in near]
     found = near_copies.components(spark.createDataFrame(rows, "key long, text string")).select("key", F.col("component")).collect()
     assert dict(map(tuple, found)) == {k: c for k, c in enumerate(least) if k != c} != {}
+
+
+def test_a_dense_block_passes_on_a_spanning_forest():
+    n = 30  # rows of one block, all of one fingerprint
+    columns = [[7] * n, [100] * n, list(range(n)), [0] * n, [0] * n, [5] * n, list(range(n))]
+    block = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], near_copies.ROW)
+    out = [r for b in near_copies.still_open(iter([block])) for r in b.to_pylist()]
+    edges = [(r["u"], r["v"]) for r in out if r["u"] is not None and r["token"] == 7]
+    assert len(edges) == n - 1 and {k for e in edges for k in e} == set(range(n))
+    assert sum(r["u"] is None for r in out) == n
