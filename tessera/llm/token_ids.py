@@ -20,6 +20,7 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -60,11 +61,13 @@ def width(path: str) -> int:
 WHITE_LEAD, WHITE_NEXT = np.zeros(256, bool), np.zeros(256, bool)
 WHITE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 WHITE_NEXT[[0x80, 0x81, 0x85, 0x9A, 0xA0]] = True
-# ASCII letters and digits, other printing ASCII, and second bytes of the letters whose first byte is C3
-WORDY, MARK, LATIN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-WORDY[0x30:0x3A] = WORDY[0x41:0x5B] = WORDY[0x61:0x7B] = LATIN[0x80:0xC0] = MARK[0x21:0x7F] = True
-LATIN[[0x97, 0xB7]] = False
-MARK &= ~WORDY
+# bit 1: ASCII letters and digits, bit 0: other printing ASCII, bit 2: second bytes of the letters whose first byte is C3
+KINDS = np.zeros(256, np.uint8)
+KINDS[0x21:0x7F] = 1
+KINDS[0x30:0x3A] = KINDS[0x41:0x5B] = KINDS[0x61:0x7B] = 2
+KINDS[0x80:0xC0] = 4
+KINDS[[0x97, 0xB7]] = 0
+KINDS = KINDS.tobytes()
 LINE_END = 0x0A
 
 
@@ -79,8 +82,10 @@ def cuts(data: np.ndarray) -> np.ndarray:
     after = data[at + 1]
     white = WHITE_LEAD[after] & WHITE_NEXT[data[np.minimum(at + 2, len(data) - 1)]]
     out[at[(after > 0x20) & ~white]] = True
-    out[1:] |= MARK[data[1:]] & WORDY[data[:-1]]
-    out[2:] |= MARK[data[2:]] & LATIN[data[1:-1]] & (data[:-2] == 0xC3)
+    kind, bits = np.frombuffer(data.tobytes().translate(KINDS), np.uint8), out.view(np.uint8)
+    mark = kind & 1
+    bits[1:] |= mark[1:] & (kind[:-1] >> 1)
+    bits[2:] |= mark[2:] & (kind[1:-1] >> 2) & (data[:-2] == 0xC3)
     seen = lambda x: (x > 0x20) & (x < 0x7F)
     at = 1 + np.flatnonzero(data[1:-1] == LINE_END)
     at = at[seen(data[at - 1]) & seen(data[at + 1])]
@@ -88,6 +93,16 @@ def cuts(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def extended(array: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """array with more after its first `used` values, copied only if there is no room behind these."""
+    end = used + len(more)
+    if end > len(array):
+        array, old = np.empty(max(end, 2 * len(array)), array.dtype), array
+        array[:used] = old[:used]
+    array[used:end] = more
+    return array
+
+
 class Encoder:
     """Ids of texts by their units, the stretches between cuts: the library encodes each distinct unit once, and numpy
     puts their ids together. The ids are those of the whole text, as the library parts texts at the cuts too. Texts are
@@ -102,7 +117,8 @@ class Encoder:
         between = self.coder.encode("\n", add_special_tokens=False).ids
         self.between = between[0] if self.parted and len(between) == 1 else None
         self.known: dict[bytes, int] = {}
-        self.flat, self.start, self.size = np.array([END], self.kind), np.zeros(1, np.int64), np.ones(1, np.int64)  # slot 0 is the end
+        # the ids of slot k are flat[first[k] : first[k + 1]], slot 0 is the end; of both arrays only the beginnings are in use
+        self.flat, self.first, self.used = np.array([END], self.kind), np.array([0, 1], np.int64), 1
 
     def encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units, and each one's number of ids."""
@@ -118,34 +134,36 @@ class Encoder:
         parts = np.concatenate([[-1], np.flatnonzero(between), [len(ids)]])
         return ids[~between], np.diff(parts) - 1
 
-    def slots(self, units: list[bytes]) -> np.ndarray:
-        """Where the ids of distinct units are."""
-        found = list(map(self.known.get, units))
-        new = [k for k, at in enumerate(found) if at is None]
+    def slots(self, units: np.ndarray) -> np.ndarray:
+        """Where the ids of distinct units (bytes) are."""
+        found = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        new = np.flatnonzero(found < 0)
         room = len(self.known) + len(new) <= KNOWN
         groups: dict[tuple[bool, bool], list[tuple[int, str]]] = {(kept, plain): [] for kept in (True, False) for plain in (True, False)}
-        for k in new:
-            unit = units[k].decode()
+        for k, raw in zip(new.tolist(), units[new], strict=True):
+            unit = raw.decode()
             word = unit[1:] if unit[:1] == " " else unit
             groups[room and len(unit) <= LONG, self.between is not None and word.split() == [word]].append((k, unit))
         for (kept, plain), some in groups.items():
             if some:
                 ids, size = (self.encode_joined if plain else self.encode)([unit for _, unit in some])
-                first = len(self.start)
-                self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-                self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, ids])
-                for at, (k, _) in enumerate(some, first):
-                    found[k] = at
+                at, end = [k for k, _ in some], int(self.first[self.used])
+                found[at] = np.arange(self.used, self.used + len(some))
+                self.flat = extended(self.flat, end, ids)
+                self.first = extended(self.first, self.used + 1, end + np.cumsum(size))
                 if kept:
-                    self.known |= {units[k]: at for at, (k, _) in enumerate(some, first)}
-        return np.array(found, np.int64)
+                    self.known.update(zip(units[at], range(self.used, self.used + len(some)), strict=True))
+                self.used += len(some)
+        return found
 
     def forget(self) -> None:
-        """Drops the ids of units that aren't known, which come last."""
-        n = len(self.known) + 1
-        if len(self.start) > n:
-            end = int(self.start[n])
-            self.start, self.size, self.flat = self.start[:n].copy(), self.size[:n].copy(), self.flat[:end].copy()
+        """Drops the ids of units that aren't known, which come last, and the room that a call with many of them has taken."""
+        self.used = len(self.known) + 1
+        end = int(self.first[self.used])
+        if len(self.flat) > 4 * max(end, PIECE):
+            self.flat = self.flat[: 2 * end].copy()
+        if len(self.first) > 4 * max(self.used, PIECE):
+            self.first = self.first[: 2 * self.used].copy()
 
     def ids(self, data: np.ndarray, offsets: np.ndarray, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the number of ids before each text."""
@@ -154,15 +172,16 @@ class Encoder:
         edges = np.flatnonzero(edge)
         units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(data)])
         units = units.dictionary_encode()
-        slots = self.slots(units.dictionary.to_pylist())
+        slots = self.slots(units.dictionary.to_numpy(zero_copy_only=False))
         slots = slots[units.indices.to_numpy()] if len(edges) > 1 else np.zeros(0, np.int64)
         before = np.searchsorted(edges, offsets)
         if end:
             slots = np.insert(slots, before[1:], 0)
             before = before + np.arange(len(before))
-        size = self.size[slots]
+        start = self.first[slots]
+        size = self.first[slots + 1] - start
         done = np.append(0, np.cumsum(size))
-        out = self.flat[np.arange(done[-1]) + np.repeat(self.start[slots] - done[:-1], size)]
+        out = self.flat[np.arange(done[-1]) + np.repeat(start - done[:-1], size)]
         self.forget()
         return out, done[before]
 
@@ -263,12 +282,14 @@ def packed(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[byt
     size = lengths[ids].astype(np.int64)
     at = np.cumsum(size) - size
     end = int(size.sum())
-    wide = np.zeros(end // 8 + 9, np.uint8)
-    value = codes[ids] << (32 - size - (at & 7))  # a code of up to 24 bits from the first of four bytes
-    for k in range(4):  # neighbours share bytes but no bits
-        part = np.bincount((at >> 3) + k, (value >> (24 - 8 * k)) & 255, len(wide))
-        wide += part.astype(np.uint8)
-    return wide.tobytes(), at[::BLOCK]
+    word = at >> 5
+    value = codes[ids].astype(np.uint64) << (64 - size - (at & 31)).astype(np.uint64)  # from the word of 32 bits that a code begins in, into the next
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    value, word = np.add.reduceat(value, first), word[first]  # codes share words but no bits
+    wide = np.zeros(end // 32 + 4, np.uint64)
+    wide[word] += value >> np.uint64(32)
+    wide[word + 1] += value & np.uint64(0xFFFFFFFF)
+    return wide.astype(">u4").tobytes()[: end // 8 + 9], at[::BLOCK]
 
 
 def table(lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
